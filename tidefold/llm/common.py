@@ -17,7 +17,7 @@ BROADCAST_ROWS = 1_000_000
 #: Bytes of text handled at once by the numpy kernels, unless a single text is longer.
 SLICE_BYTES = 1 << 20
 #: Links that a single task may still join up.
-ONE_TASK = 10_000
+ONE_TASK = 20_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -89,37 +89,33 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     are taken, which Spark computes before the shuffle. Once at most ONE_TASK links are
     left, a single task ends the work by union-find.
     """
-    edges = scratch.save(links.select("a", "b").where("a <> b").distinct())
+    edges = scratch.save(links.select("a", "b").where("a <> b"))
     n, turn, label = edges.count(), 0, None
-    while n:
-        if n <= ONE_TASK:
-            step = edges.coalesce(1).mapInArrow(_finish, "at long, to long")
-        else:
-            both = edges.union(edges.select("b", "a"))
-            rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)) if turn > 2 else F.col(c), F.col(c).alias("v"))  # noqa: E731, B023
-            m = F.least(F.min(rank("b")), F.min(rank("a")))
-            step = both.groupBy(F.col("a").alias("at")).agg(m.alias("m")).select("at", F.col("m.v").alias("to"))
-        step = scratch.save(step)
-        if label is None:
-            label = step.toDF("node", "label")
-            label._scratch_path = step._scratch_path
-        else:  # a node that an earlier round left has its label among the nodes of this one, or is done
-            new = label.join(step, label.label == step["at"], "left").select("node", F.coalesce("to", "label").alias("label"))
-            label = scratch.save(new)
-        if n <= ONE_TASK:
-            break
+    while n > ONE_TASK:
+        both = edges.union(edges.select("b", "a"))
+        rank = lambda c: F.struct((F.xxhash64(F.lit(turn), F.col(c)) if turn > 2 else F.col(c)).alias("p"), F.col(c).alias("v"))  # noqa: E731, B023
+        m = F.least(F.min(rank("b")), F.min(rank("a")))
+        step = scratch.save(both.groupBy(F.col("a").alias("at")).agg(m.alias("m")).select("at", F.col("m.v").alias("to")))
+        # a node that an earlier round left has its label among the nodes of this one, or is done
+        moved = step.toDF("node", "label") if label is None else label.join(step, label.label == step["at"], "left").select("node", F.coalesce("to", "label").alias("label"))
+        label = scratch.save(moved)
         sa, sb = step.toDF("a", "a2"), step.toDF("b", "b2")
-        edges = scratch.save(
-            edges.join(sa, "a").join(sb, "b").where("a2 <> b2")
-            .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
-        )
+        edges = edges.join(sa, "a").join(sb, "b").where("a2 <> b2")
+        edges = scratch.save(edges.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
         n, turn = edges.count(), turn + 1
+    step = scratch.save(edges.coalesce(1).mapInArrow(_finish, "at long, to long"))
     if label is None:
-        return edges.toDF("node", "comp")
+        return step.toDF("node", "comp")
+    label = label.join(small(step, n), label.label == step["at"], "left").select("node", F.coalesce("to", "label").alias("label"))
     least = label.groupBy("label").agg(F.min("node").alias("comp"))
     return scratch.save(label.join(least, "label").select("node", "comp"))
 
 
+def merge_components(comp: DataFrame | None, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """comp(node, comp) after the further links found(a, b) between nodes: a component is a star of links."""
+    return components(found if comp is None else found.union(comp.select("node", "comp").toDF("a", "b")), scratch)
+
+
 # ---------------------------------------------------------------- numpy kernels
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
