@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, mixing, secrets, topk, toxicity, urls
+from . import chat, decontaminate, lines, minhash, mixing, quality, secrets, topk, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -51,9 +55,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash": op1_minhash, "op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_topk": op6_topk,
-    "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate,
+    "op1_minhash": op1_minhash, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_topk": op6_topk,
+    "op7_chat": op7_chat, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality,
 }
 
 _FORM = """case when strpos(url, '://') > 0 then regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
