@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import losses
+from ..operators import learners, metrics, models
+from ..operators import preprocess as prep
+from ..operators import recurrences as rec
+from ..streaming import fold
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -41,3 +47,305 @@ def prequential_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "events").select("user_id", "value", F.lag("value").over(w).alias("pred")).where("pred is not null")
     err = F.col("value") - F.col("pred")
     return p.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(err)), 6).alias("mae"), F.round(F.avg(err * err), 6).alias("mse"))
+
+
+# ---- metrics: predictions are a user's last value; classes are value modulo 2 or 3
+
+_P = """p as (select *, lag(value) over (partition by user_id order by ts, event_id) as pred from events),
+q as (select user_id, ts, event_id, value as y, pred as p, floor(value)::bigint % 2 as yb, floor(pred)::bigint % 2 as pb,
+  floor(value)::bigint % 3 as yc, floor(pred)::bigint % 3 as pc, 1 / (1 + exp(-(pred - 50) / 25)) as s from p where pred is not null)"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    p = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").alias("y"), F.lag("value").over(w).alias("p")).where("p is not null")
+    code = lambda c, k: F.floor(c) % k
+    return p.withColumns({"yb": code("y", 2), "pb": code("p", 2), "yc": code("y", 3), "pc": code("p", 3), "s": 1 / (1 + F.exp(-(F.col("p") - 50) / 25))})
+
+
+def rounded(df: DataFrame, digits: int = 6, tie: float = 0.0) -> DataFrame:
+    """Doubles rounded, as sums of doubles depend on their order; tie moves halves to one side; a negative zero becomes zero."""
+    return df.select([(F.round(F.col(c) + tie, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _by(rows: DataFrame, cols: dict, *key: str) -> DataFrame:
+    return rounded(rows.groupBy(*key).agg(*[v.alias(k) for k, v in cols.items()]))
+
+
+@query("regression_metrics", f"""with {_P}, a as (select user_id, count(*) as n, avg(abs(y - p)) as mae, avg((y - p) * (y - p)) as mse, sum((y - p) * (y - p)) as sse,
+ var_pop(y) * count(*) as tot from q group by user_id)
+select user_id, n, round(mae, 6) as mae, round(mse, 6) as mse, round(sqrt(mse), 6) as rmse, round(case when n > 1 and tot > 0 then 1 - sse / tot else 0 end, 6) as r2 from a""")
+def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by(scored(spark, sf_dir), metrics.regression(F.col("y"), F.col("p")), "user_id")
+
+
+@query("classification_metrics", f"""with {_P}, a as (select user_id, count(*) as n, avg((yb = pb)::int::double) as accuracy, sum((yb = 1 and pb = 1)::int)::double as tp,
+ sum((pb = 1)::int)::double as pp, sum((yb = 1)::int)::double as ap, -avg(case when yb = 1 then ln(least(greatest(s, 1e-15), 1 - 1e-15)) else ln(1 - least(greatest(s, 1e-15), 1 - 1e-15)) end) as ll
+ from q group by user_id)
+select user_id, n, round(accuracy, 6) as accuracy, round(case when pp <> 0 then tp / pp else 0 end, 6) as "precision", round(case when ap <> 0 then tp / ap else 0 end, 6) as recall,
+ round(case when pp + ap <> 0 then 2 * tp / (pp + ap) else 0 end, 6) as f1, round(ll, 6) as log_loss from a""")
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by(scored(spark, sf_dir), metrics.classification(F.col("yb"), F.col("pb"), F.col("s")), "user_id")
+
+
+@query("cohen_kappa", f"""with {_P}, n as (select user_id, count(*) as n, sum((yc = pc)::int) as hit from q group by user_id),
+t as (select user_id, yc as c, count(*) as t from q group by all), r as (select user_id, pc as c, count(*) as r from q group by all),
+e as (select t.user_id, sum(t * r) as tq from t join r on t.user_id = r.user_id and t.c = r.c group by 1), m as (select user_id, max(t) as top from t group by 1),
+a as (select n.user_id, n, hit / n as po, coalesce(tq, 0) / (n * n) as pe, top / n as pm from n left join e on n.user_id = e.user_id join m on n.user_id = m.user_id)
+select user_id, n, round(case when 1 - pe <> 0 then (po - pe) / (1 - pe) else 0 end, 6) as kappa, round(case when 1 - pm <> 0 then (po - pm) / (1 - pm) else 0 end, 6) as kappa_m from a""")
+def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.kappa(scored(spark, sf_dir), "yc", "pc", ["user_id"]))
+
+
+@query("kappa_t", f"""with {_P}, l as (select *, lag(yc) over (partition by user_id order by ts, event_id) as last from q),
+a as (select user_id, count(*) as n, avg((yc = pc)::int::double) as po, coalesce(sum((yc = last)::int), 0)::double as same from l group by 1),
+b as (select *, case when n > 1 then same / (n - 1) else 0 end as pt from a)
+select user_id, n, round(case when 1 - pt <> 0 then (po - pt) / (1 - pt) else 0 end, 6) as kappa_t from b""")
+def kappa_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.kappa_t(scored(spark, sf_dir), "yc", "pc", ["user_id"], ["ts", "event_id"]))
+
+
+@query("auc", f"""with {_P}, r as (select *, rank() over (partition by user_id order by s) + (count(*) over (partition by user_id, s) - 1) / 2.0 as r from q),
+a as (select user_id, sum((yb = 1)::int) as pos, count(*) as n, sum(case when yb = 1 then r end) as rs from r group by 1)
+select user_id, round(case when pos > 0 and pos < n then (rs - pos * (pos + 1) / 2.0) / (pos * (n - pos)) end, 6) as auc from a""")
+def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.auc(scored(spark, sf_dir), "yb", "s", ["user_id"]))
+
+
+_W50 = "over (partition by user_id order by ts, event_id rows between 49 preceding and current row)"
+
+
+@query("rolling_regression", f"""with {_P}, a as (select user_id, ts, event_id, avg(abs(y - p)) {_W50} as mae, avg((y - p) * (y - p)) {_W50} as mse,
+ sum((y - p) * (y - p)) {_W50} as sse, var_pop(y) {_W50} * count(y) {_W50} as tot, count(y) {_W50} as n from q)
+select user_id, ts, event_id, round(mae + 1e-7, 4) as mae, round(mse + 1e-7, 4) as mse, round(case when n > 1 and tot > 0 then 1 - sse / tot else 0 end + 1e-7, 4) as r2 from a""")
+def rolling_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.rolling_regression(scored(spark, sf_dir), "y", "p", ["user_id"], ["ts", "event_id"], 50), 4, 1e-7)
+
+
+@query("rolling_accuracy", f"with {_P} select user_id, ts, event_id, round(avg((yc = pc)::int::double) {_W50}, 6) as accuracy from q")
+def rolling_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.rolling_accuracy(scored(spark, sf_dir), "yc", "pc", ["user_id"], ["ts", "event_id"], 50))
+
+
+@query("ewma_error", f"""with {_P}, l as (select user_id, list(abs(y - p) order by ts, event_id) as e from q group by 1)
+select user_id, round(list_reduce(e, lambda a, x : (2.0 / 21)::double * x + (1 - (2.0 / 21)::double) * a), 6) as mae,
+ round(list_reduce(list_transform(e, lambda x : x * x), lambda a, x : (2.0 / 21)::double * x + (1 - (2.0 / 21)::double) * a), 6) as mse from l""")
+def ewma_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.ewma_error(scored(spark, sf_dir), "y", "p", ["user_id"], ["ts", "event_id"], 20))
+
+
+@query("feature_importance", """with g as (select event_type, sum(value) as gain from events group by 1)
+select event_type, round(gain / (select sum(gain) from g), 6) as importance from g order by gain desc, event_type limit 3""")
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.importance(table(spark, sf_dir, "events"), "event_type", "value", 3))
+
+
+# ---- preprocessors over events, keyed by user
+
+_U = "(partition by user_id order by ts, event_id rows between unbounded preceding and current row)"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+
+
+@query("normalizer", f"select event_id, round((value - avg(value) over {_U}) / sqrt(var_pop(value) over {_U} + 1e-12), 4) as z from events")
+def normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_events(spark, sf_dir).select("event_id", prep.normalize("value", ["user_id"], ["ts", "event_id"]).alias("z")), 4)
+
+
+@query("min_max", f"""with a as (select event_id, value, min(value) over {_U} as lo, max(value) over {_U} as hi from events)
+select event_id, round(case when hi - lo < 1e-12 then 0.5 else (value - lo) / (hi - lo) end, 6) as scaled from a""")
+def min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_events(spark, sf_dir).select("event_id", prep.min_max("value", ["user_id"], ["ts", "event_id"]).alias("scaled")))
+
+
+@query("target_encoder", """select event_id, round((sum(value) over (partition by user_id, event_type order by ts, event_id rows unbounded preceding)
+ + 10.0::double * avg(value) over (partition by user_id order by ts, event_id rows unbounded preceding))
+ / (count(value) over (partition by user_id, event_type order by ts, event_id rows unbounded preceding) + 10.0::double) + 1e-8, 6) as encoded from events""")
+def target_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_events(spark, sf_dir).select("event_id", prep.target_encode("event_type", "value", ["user_id"], ["ts", "event_id"], 10.0).alias("encoded")), 6, 1e-8)
+
+
+@query("one_hot", "select event_id, " + ", ".join(f"(event_type = '{c}')::int::double as x{i}" for i, c in enumerate(["click", "error", "purchase", "signup", "view"])) + " from events")
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    seen = prep.discover(rows, "event_type")
+    return rows.withColumn("x", prep.one_hot(F.col("event_type"), seen)).select("event_id", *[F.col("x")[i].alias(f"x{i}") for i in range(len(seen))])
+
+
+_LI = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+
+
+@query("polynomial", f"""select {_LI}, round(l_quantity * l_quantity, 6) as f2, round(l_quantity * l_discount, 6) as f3, round(l_discount * l_discount, 6) as f4,
+ round(l_quantity * l_quantity * l_discount, 6) as m from lineitem""")
+def polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xs = [F.col("l_quantity"), F.col("l_discount")]
+    p, m = prep.polynomial(xs), prep.monomials(xs, 3)
+    return rounded(table(spark, sf_dir, "lineitem").select(*_LI.split(", "), p[2].alias("f2"), p[3].alias("f3"), p[4].alias("f4"), m[1].alias("m")))
+
+
+@query("lag_features", "select event_id, " + ", ".join(f"lag(value, {k}) over (partition by user_id order by ts, event_id) as lag{k}" for k in (1, 2, 3)) + " from events")
+def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", *[c.alias(f"lag{k + 1}") for k, c in enumerate(prep.lags("value", 3, ["user_id"], ["ts", "event_id"]))])
+
+
+@query("label_encode", """with f as (select event_type, min(event_id) as first from events group by 1), c as (select event_type, row_number() over (order by first)::int - 1 as code from f)
+select event_id, code::int as code from events join c using (event_type)""")
+def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.label_encode(_events(spark, sf_dir), "event_type", ["event_id"]).select("event_id", F.col("event_type_code").cast("int").alias("code"))
+
+
+@query("feature_hasher")
+def feature_hasher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xs = [F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    return table(spark, sf_dir, "lineitem").select(*_LI.split(", "), prep.hash_features(xs, 8).alias("hashed"))
+
+
+# ---- losses
+
+@query("losses", """with a as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_discount as y, l_tax as p, 1 / (1 + exp(-l_tax)) as s from lineitem)
+select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(p - y, 6) as squared_g, round(s - y, 6) as logistic_g, round(s * (1 - s), 6) as logistic_h,
+ round(greatest(-0.02::double, least(0.02::double, p - y)), 6) as huber_g, case when p >= y then 0.1::double else -0.9::double end as quantile_g,
+ round(2 * (case when p >= y then 0.9::double else 1 - 0.9::double end) * (p - y), 6) as expectile_g from a""")
+def all_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, p = F.col("l_discount"), F.col("l_tax")
+    cols = {
+        "squared_g": losses.squared(y, p)[0], "logistic_g": losses.logistic(y, p)[0], "logistic_h": losses.logistic(y, p)[1],
+        "huber_g": losses.huber(y, p, 0.02)[0], "quantile_g": losses.quantile(y, p, 0.9)[0], "expectile_g": losses.expectile(y, p, 0.9)[0],
+    }
+    return rounded(table(spark, sf_dir, "lineitem").select(*_LI.split(", "), *[c.alias(k) for k, c in cols.items()]))
+
+
+@query("first_predictions", """select round(avg(l_tax), 6) as squared, round(ln(avg(l_tax) / (1 - avg(l_tax))), 6) as logistic, round(median(l_tax), 6) as huber, round(quantile_cont(l_tax, 0.9), 6) as quantile from lineitem""")
+def first_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = {k: losses.first_prediction(k, F.col("l_tax"), 0.9) for k in ("squared", "logistic", "huber", "quantile")}
+    return rounded(table(spark, sf_dir, "lineitem").agg(*[c.alias(k) for k, c in first.items()]))
+
+
+# ---- recurrences, naive Bayes, clustering, bandits
+
+_E = "with l as (select user_id, list(value order by ts, event_id) as v from events where value is not null group by 1)"
+
+
+@query("ewma", f"{_E} select user_id, len(v)::bigint as n, round(list_reduce(v, lambda a, x : 0.1::double * x + 0.9::double * a), 6) as ewma from l")
+def ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rec.ewma(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", 0.1))
+
+
+@query("quantile_tracker", f"{_E} select user_id, len(v)::bigint as n, round(list_reduce(v, lambda a, x : a + 0.5::double * (case when x >= a then 0.9::double else -0.1::double end)), 4) as q from l")
+def quantile_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rec.quantile_track(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", 0.9, 0.5), 4)
+
+
+@query("adaptive_conformal", """with l as (select user_id, list_concat([0.1::double], list((value > 60)::int::double order by ts, event_id)) as v from events where value is not null group by 1)
+select user_id, (len(v) - 1)::bigint as n, round(list_reduce(v, lambda a, x : least(0.999::double, greatest(0.001::double, a + 0.01::double * (0.1::double - x)))), 6) as level from l""")
+def adaptive_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).withColumn("missed", (F.col("value") > 60).cast("double"))
+    return rounded(rec.adaptive_conformal(rows, ["user_id"], ["ts", "event_id"], "missed"))
+
+
+@query("page_hinkley")
+def page_hinkley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rec.page_hinkley(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", 0.005, 50.0))
+
+
+@query("decomposition")
+def decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rec.decompose(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", 7))
+
+
+@query("gaussian_nb_moments", """select l_returnflag, count(*) as n, round(avg(l_quantity), 6) as mean0, round(var_pop(l_quantity), 6) as var0, round(avg(l_discount), 6) as mean1,
+ round(var_pop(l_discount), 6) as var1, round(count(*) / (select count(*) from lineitem), 6) as prior from lineitem group by 1""")
+def gaussian_nb_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.gaussian_moments(table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_quantity", "l_discount"]))
+
+
+@query("gaussian_nb_predict", """with m as (select l_returnflag as c, ln(count(*) / (select count(*) from lineitem)) as prior, avg(l_quantity) as m0, var_pop(l_quantity) + 1e-9 as v0,
+ avg(l_discount) as m1, var_pop(l_discount) + 1e-9 as v1 from lineitem group by 1),
+s as (select l_linenumber, l_quantity, l_discount, c, prior - 0.5 * (ln(2 * pi() * v0) + (l_quantity - m0) ** 2 / v0 + ln(2 * pi() * v1) + (l_discount - m1) ** 2 / v1) as s
+ from (select distinct l_linenumber, l_quantity, l_discount from lineitem), m),
+r as (select *, row_number() over (partition by l_linenumber, l_quantity, l_discount order by round(s, 9) desc, c) as k from s)
+select l_linenumber, l_quantity, l_discount, c as class from r where k = 1""")
+def gaussian_nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    moments = models.gaussian_moments(rows, "l_returnflag", ["l_quantity", "l_discount"])
+    asked = rows.select("l_linenumber", "l_quantity", "l_discount").distinct()
+    return asked.withColumn("class", models.gaussian_predict(moments, "l_returnflag", ["l_quantity", "l_discount"]))
+
+
+@query("multinomial_nb", """with c as (select user_id % 2 as c, event_type, sum(value) as n from events group by all), t as (select c, sum(n) as t from c group by 1)
+select c.c as class, event_type, round(ln((n + 1) / (t + 5)), 6) as log_p from c join t using (c)""")
+def multinomial_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("class", F.col("user_id") % 2)
+    return rounded(models.multinomial(rows, "class", "event_type", "value", 1.0, 5))
+
+
+@query("bernoulli_nb", """select l_returnflag, round(ln((sum((l_quantity > 25)::int) + 1.0::double) / (count(*) + 2)), 6) as log_p0, round(ln((sum((l_discount > 0.05)::int) + 1.0::double) / (count(*) + 2)), 6) as log_p1 from lineitem group by 1""")
+def bernoulli_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.bernoulli(table(spark, sf_dir, "lineitem"), "l_returnflag", {"l_quantity": 25.0, "l_discount": 0.05}, 1.0))
+
+
+@query("cluster_features", """with x as (select label, unnest(embedding[1:4]) as x, unnest([0, 1, 2, 3]) as i from embeddings)
+select label, i::int as i, count(*) as n, round(sum(x::double), 4) as ls, round(sum(x::double * x::double), 4) as ss from x group by all""")
+def cluster_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 4).alias("x"))
+    return rounded(models.cluster_features(rows, "label", "x"), 4)
+
+
+@query("ucb1", """with a as (select event_type as arm, count(*) as n, avg(value / 100) as mean from events group by 1)
+select arm, n, round(mean + sqrt(2 * ln((select sum(n) from a)) / n), 6) as bound from a""")
+def ucb1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.ucb1(table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), (F.col("value") / 100).alias("reward"))))
+
+
+@query("thompson", """select event_type as arm, 1 + sum((value > 50)::int)::double as alpha, 1 + sum((value <= 50)::int)::double as beta from events group by 1""")
+def thompson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.thompson(table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), (F.col("value") > 50).cast("int").alias("reward")))
+
+
+@query("prequential_linear")
+def prequential_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test-then-train of a linear model on lags, per user, with its metrics."""
+    return _learned(spark, sf_dir, learners.Linear(dim=3, rate=1e-5))
+
+
+@query("prequential_rls")
+def prequential_rls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(spark, sf_dir, learners.RLS(dim=3, forgetting=0.99))
+
+
+@query("prequential_boosting")
+def prequential_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(spark, sf_dir, learners.Boosting(dim=3, steps=8, depth=3, rate=0.2, grace=20))
+
+
+@query("ddm")
+def ddm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.run_batch(scored(spark, sf_dir).withColumn("x", F.array((F.col("yc") != F.col("pc")).cast("double"))), learners.DDM(), ["user_id"], ["ts", "event_id"], "x", "y")
+
+
+@query("adwin")
+def adwin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.run_batch(scored(spark, sf_dir).withColumn("x", F.array("y")), learners.ADWIN(), ["user_id"], ["ts", "event_id"], "x", "y")
+
+
+def _learned(spark: SparkSession, sf_dir: str, learner) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    xs = prep.lags("value", 2, ["user_id"], ["ts", "event_id"])
+    rows = prep.finite(rows.withColumns({"a": xs[0], "b": xs[1]}), ["a", "b", "value"]).withColumn("x", F.array(F.lit(1.0), "a", "b"))
+    out = fold.run_batch(rows, learner, ["user_id"], ["ts", "event_id"], "x", "value")
+    return _by(out, metrics.regression(F.col("target"), F.col("prediction")), "user_id")
+
+
+@query("generators")
+def generators_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every synthetic stream, two seeds each."""
+    from ..sources.generators import KINDS, GeneratorSource
+
+    spark.dataSource.register(GeneratorSource)
+    out = None
+    for kind in KINDS:
+        df = spark.read.format("tidefold_stream").option("kind", kind).option("seed", "1,2").option("rows", "500").load().withColumn("kind", F.lit(kind))
+        out = df if out is None else out.union(df)
+    return out
