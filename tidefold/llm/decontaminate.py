@@ -114,6 +114,6 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows in whose text a window of items occurs."""
-    hits = occurrences(docs, items).select(F.col("doc_id").alias("id2"), F.col("h").alias("h2"))
-    same = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.xxhash64("text") == F.col("h2"))
+    hits = occurrences(docs, items).select(F.col("doc_id").alias("_id2"), F.col("h").alias("_h2"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id2")) & (F.xxhash64("text") == F.col("_h2"))
     return docs.join(small(hits, hits.count(), DOCS_BROADCAST), same, "left_anti")

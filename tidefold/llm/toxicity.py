@@ -30,7 +30,8 @@ WINDOW, STRIDE = 64, 48
 #: Most rows of label 1 and of label 0 that a model is trained on.
 TOXIC, CLEAN = 800, 1600
 MIN_TEXTS, WORD_DIM, CHAR_DIM, CHARS, HIDDEN = 4, 8, 8, 4096, 8
-EPOCHS, BATCH, RATE, SEED = 5, 64, 0.01, 5
+#: Passes over the sample, and the least steps in all, which small samples need.
+EPOCHS, STEPS, BATCH, RATE, SEED = 5, 150, 64, 0.01, 5
 THRESHOLD = 0.3
 
 
@@ -214,7 +215,7 @@ def train(texts: list[str | None], labels: np.ndarray) -> Net | None:
     ids = np.concatenate([words.ids, np.zeros(WINDOW, np.int32)])
     lo = np.searchsorted(doc, np.arange(len(texts) + 1))
     rng, mean, sq, turn = np.random.default_rng(SEED), {}, {}, 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(texts)))):
         every = rng.permutation(len(texts))
         for at in range(0, len(every), BATCH):
             batch = every[at : at + BATCH]
