@@ -180,3 +180,118 @@ class ADWIN:
                     cut, again = 1.0, True
                     break
         return cut, buckets
+
+
+@dataclass
+class HoltWinters:
+    """Additive triple exponential smoothing; the first period starts level and seasons and is then replayed. Predictions ignore x."""
+
+    period: int
+    alpha: float = 0.3
+    beta: float = 0.1
+    gamma: float = 0.1
+
+    def new(self):
+        return {"start": [], "level": 0.0, "trend": 0.0, "season": None, "t": 0}
+
+    def step(self, s, x, y):
+        if s["season"] is None:
+            s["start"].append(y)
+            if len(s["start"]) == self.period:
+                s["level"] = sum(s["start"]) / self.period
+                s["season"] = [v - s["level"] for v in s["start"]]
+                for v in s["start"]:
+                    self._update(s, v)
+            return 0.0, s
+        p = s["level"] + s["trend"] + s["season"][s["t"] % self.period]
+        self._update(s, y)
+        return float(p), s
+
+    def _update(self, s, y):
+        i, level = s["t"] % self.period, s["level"]
+        s["level"] = self.alpha * (y - s["season"][i]) + (1 - self.alpha) * (level + s["trend"])
+        s["trend"] = self.beta * (s["level"] - level) + (1 - self.beta) * s["trend"]
+        s["season"][i] = self.gamma * (y - s["level"]) + (1 - self.gamma) * s["season"][i]
+        s["t"] += 1
+
+
+@dataclass
+class KMeans:
+    """Online k-means: the first k different points seed the centers, then each point moves its nearest by 1 / count. Predicts the center's number."""
+
+    k: int
+    forgetting: float = 1.0
+
+    def new(self):
+        return [], []
+
+    def step(self, s, x, y):
+        centers, counts = s
+        if len(centers) < self.k and not any(np.array_equal(c, x) for c in centers):
+            centers.append(np.array(x, float))
+            counts.append(1.0)
+            return float(len(centers) - 1), s
+        i = int(np.argmin([((c - x) ** 2).sum() for c in centers]))
+        counts[:] = [c * self.forgetting for c in counts]
+        counts[i] += 1
+        centers[i] = centers[i] + (x - centers[i]) / counts[i]
+        return float(i), s
+
+
+@dataclass
+class Polynomial:
+    """Monomials up to a degree, with a constant, into recursive least squares."""
+
+    dim: int
+    degree: int = 2
+    forgetting: float = 1.0
+
+    def __post_init__(self):
+        from itertools import combinations_with_replacement as c
+
+        self.terms = [t for d in range(self.degree + 1) for t in c(range(self.dim), d)]
+        self.rls = RLS(len(self.terms), self.forgetting)
+
+    def new(self):
+        return self.rls.new()
+
+    def step(self, s, x, y):
+        return self.rls.step(s, np.array([np.prod([x[i] for i in t]) if t else 1.0 for t in self.terms]), y)
+
+
+@dataclass
+class OneVsRest:
+    """A class by the greatest of k models trained on 0 and 1 targets; ties to the smaller class."""
+
+    k: int
+    model: object
+
+    def new(self):
+        return [self.model.new() for _ in range(self.k)]
+
+    def step(self, s, x, y):
+        out = [self.model.step(a, x, float(int(y) == c)) for c, a in enumerate(s)]
+        return float(int(np.argmax([p for p, _ in out]))), [a for _, a in out]
+
+
+@dataclass
+class LinUCB:
+    """Contextual bandit over arms by ridge regression with upper bounds, learned from logged (arm, context) rows: x is the arm, then the context.
+
+    Predicts the arm that it would have pulled.
+    """
+
+    arms: int
+    dim: int
+    alpha: float = 1.0
+
+    def new(self):
+        return [(np.eye(self.dim), np.zeros(self.dim)) for _ in range(self.arms)]
+
+    def step(self, s, x, y):
+        arm, c = int(x[0]), np.asarray(x[1:], float)
+        bound = [float(inv @ b @ c + self.alpha * math.sqrt(max(c @ inv @ c, 0.0))) for inv, b in s]
+        inv, b = s[arm]
+        u = inv @ c
+        s[arm] = inv - np.outer(u, u) / (1 + c @ u), b + y * c
+        return float(int(np.argmax(bound))), s
