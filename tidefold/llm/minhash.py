@@ -17,8 +17,8 @@ members are ranked, and in rounds members of few ranks (1, then 16, 256, ...) ar
 pivots tested against later members that still belong to another component, until no
 bucket spans two components or every rank has been a pivot. A pair in one bucket is
 thus either tested on its full sets, or already known to be in one component, or ruled
-out by sizes: between rounds each member's shingles that no other component holds
-are discounted, which bounds what it can share with any of them.
+out by sizes or, after the first round, by bitmaps of 1024 bits: each bit of one set that the other
+lacks is a shingle not shared, which bounds what they share without a test.
 
 Defined cases: null or empty text and texts without words have an empty set, are
 linked with nothing and are kept; rows that repeat a doc_id count as one document
@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, components, mix64, small, words
+from .common import Scratch, arrow_map, merge_components, mix64, small, words
 
 SHINGLE, BANDS, BAND_ROWS, PERCENT = 5, 32, 4, 75
 #: Members of a bucket that are ranked by one task; larger buckets are salted.
@@ -113,10 +113,21 @@ def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
 
+def _bitmaps(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of 16 longs per set, with the bits that its shingles' top ten bits name; s is sorted within a set."""
+    out = np.zeros((len(at) - 1) * 16, np.uint64)
+    word = np.repeat(np.arange(len(at) - 1), np.diff(at)) * 16 + (s >> np.uint64(60)).astype(np.int64)
+    if len(word):
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.bitwise_or.reduceat(np.uint64(1) << ((s >> np.uint64(54)) & np.uint64(63)), first)
+    return out
+
+
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     s, at = shingle_sets(batch.column("text"))
     raw = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(s))])
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), raw.cast(pa.binary())], ["doc_id", "shingles"])
+    bits = pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * 16), pa.array(_bitmaps(s, at).view(np.int64)))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), raw.cast(pa.binary()), bits], ["doc_id", "shingles", "bits"])
 
 
 def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,38 +140,12 @@ def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = batch.column("shingles")
-    n = pa.compute.binary_length(sets).to_numpy(zero_copy_only=False) // 8
-    data = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in sets]) if len(sets) else np.empty(0, np.int64)
-    own = [pa.array(np.repeat(batch.column(x).to_numpy(), n)) for x in ("rep", "comp")]
-    return pa.RecordBatch.from_arrays([*own, pa.array(data)], ["rep", "comp", "shingle"])
-
-
-def _shared(open_: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rep, shared): how many of a representative's shingles some other component
-    of the open buckets holds too. It can share no more with any of those, which
-    rules most pairs of a large group out without a test."""
-    reps = scratch.save(open_.select("rep", "comp").distinct())
-    own = sets.join(small(reps, reps.count()), sets.doc_id == reps.rep).select("rep", "comp", "shingles")
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                yield _explode(batch.slice(at, 64))
-
-    rows = scratch.save(own.mapInArrow(run, "rep long, comp long, shingle long"))
-    common = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
-    return scratch.save(rows.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("shared")))
-
-
 def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a written table) whose full sets are similar enough."""
-    ids = scratch.save(pairs.select("a").union(pairs.select("b")).distinct())
-    own = sets.join(small(ids, ids.count()), sets.doc_id == ids.a, "left_semi")
-    sa, sb = (own.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
-    return scratch.save(both.mapInArrow(lambda batches: map(_linked, batches), "a long, b long").distinct())
+    few = small(pairs, pairs.count())
+    sa, sb = (few.join(sets, F.col(x) == F.col("doc_id")).select("a", "b", F.col("shingles").alias(f"s{x}")) for x in "ab")
+    both = sa.join(sb, ["a", "b"])
+    return scratch.save(both.mapInArrow(lambda batches: map(_linked, batches), "a long, b long"))
 
 
 def near_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -181,52 +166,46 @@ def near_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     wanted = scratch.save(members.select(F.col("rep").alias("doc_id")).distinct())
     sets = scratch.save(
         arrow_map(
-            docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi"), _sets, "doc_id long, shingles binary"
+            docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi"), _sets, "doc_id long, shingles binary, bits array<long>"
         )
     )
     last = members.agg(F.max("rank")).first()[0]
     classed = sketch.join(classes.drop("bands"), ["fp1", "fp2", "n_shingles"], "left")
-    comp = scratch.save(docs.sparkSession.createDataFrame([], "node long, comp long"))
-    active, low, width, once = members.withColumns({"comp": F.col("rep"), "shared": F.col("n")}), 0, 1, ""
+    active, low, width, once, comp = members.withColumn("comp", F.col("rep")), 0, 1, "", None
     while last is not None and low <= last:
         later = F.expr("(m.rank > p.rank or (m.rank = p.rank and m.rep > p.rep))")
         near = F.expr(
-            f"p.bucket = m.bucket and p.comp <> m.comp and 100 * least(p.n, m.n) >= {PERCENT} * greatest(p.n, m.n)"
-            f" and {100 + PERCENT} * least(p.shared, m.shared) >= {PERCENT} * (p.n + m.n){once}"
+            f"p.bucket = m.bucket and p.comp <> m.comp and 100 * least(p.n, m.n) >= {PERCENT} * greatest(p.n, m.n){once}"
         )
         pivots = active.where((F.col("rank") >= low) & (F.col("rank") < low + width)).alias("p")
         pairs = pivots.join(active.alias("m"), near & later).select(F.expr("least(p.rep, m.rep)").alias("a"), F.expr("greatest(p.rep, m.rep)").alias("b"))
         found = _verify(scratch.save(pairs.distinct()), sets, scratch)
-        comp = _merge(comp, found, scratch)
+        comp = merge_components(comp, found, scratch)
         low, width = low + width, width * 16
         if low > last:
             break
-        now = members.join(comp, members.rep == comp.node, "left").select("bucket", "rep", "n", "rank", F.coalesce("comp", "rep").alias("comp"))
-        split = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("rank").alias("z")).where(f"x <> y and z >= {low}")
-        open_ = scratch.save(now.join(split.select("bucket"), "bucket", "left_semi"))
-        shared = _shared(open_, sets, scratch)
-        left = open_.join(small(shared, shared.count()), "rep").where(f"100 * shared >= {PERCENT} * n")
-        active = scratch.save(left.join(classes.select("rep", "bands"), "rep"))
-        once = " and array_intersect(p.bands, m.bands)[0] = p.bucket"  # a pair is made in the first of its buckets only
+        now = active.drop("comp").join(small(comp, comp.count()), active.rep == comp.node, "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
+        open_ = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.when(F.col("rank") >= low, 1)).alias("left"))
+        active = now.join(open_.where("x <> y and left > 1").select("bucket"), "bucket", "left_semi")
+        if not once:
+            active = active.join(sets.select(F.col("doc_id").alias("rep"), *[F.col("bits")[i].alias(f"b{i}") for i in range(16)]), "rep")
+            # a pair is made only if the bitmaps leave enough to share; few columns, so that the JVM still compiles the join
+            lacks = lambda x, y: " + ".join(f"bit_count({x}.b{i} & ~{y}.b{i})" for i in range(16))
+            most = f"least(p.n - ({lacks('p', 'm')}), m.n - ({lacks('m', 'p')}))"
+            once = f" and {100 + PERCENT} * {most} >= {PERCENT} * (p.n + m.n)"
+        active = scratch.save(active)
         last = active.agg(F.max("rank")).first()[0]
+    if comp is None:
+        comp = docs.sparkSession.createDataFrame([], "node long, comp long")
     return classed, comp
 
 
-def _merge(comp: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, comp) after more links between nodes."""
-    for x in "ab":
-        found = found.join(comp.toDF(x, "to"), x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
-    new = components(found, scratch)
-    moved = comp.join(new.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return scratch.save(moved.union(new.join(comp, "node", "left_anti").select("node", "comp")))
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
     scratch = Scratch(docs.sparkSession, "minhash")
     rows, comp = near_links(docs, scratch)
     out = rows.join(comp, rows.rep == comp.node, "left")
-    found = F.coalesce("comp", "rep", "doc_id")
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
 
 
