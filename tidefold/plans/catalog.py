@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import losses
-from ..operators import learners, metrics, models
+from ..operators import adaptive, learners, metrics, models
 from ..operators import preprocess as prep
 from ..operators import recurrences as rec
 from ..streaming import fold
@@ -320,6 +320,46 @@ def prequential_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _learned(spark, sf_dir, learners.Boosting(dim=3, steps=8, depth=3, rate=0.2, grace=20))
 
 
+@query("prequential_kernel_rls")
+def prequential_kernel_rls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(spark, sf_dir, adaptive.KernelRLS(budget=40, gamma=1e-3))
+
+
+@query("prequential_echo_state")
+def prequential_echo_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(spark, sf_dir, adaptive.EchoState(dim=3, units=20, scale=0.01))
+
+
+@query("prequential_snarimax")
+def prequential_snarimax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(spark, sf_dir, adaptive.Snarimax(p=2, q=1))
+
+
+@query("prequential_bagged")
+def prequential_bagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(spark, sf_dir, adaptive.Bagged(5, learners.RLS(dim=3, forgetting=0.99)))
+
+
+def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("x", F.array(F.col("value") / 200, F.hour("ts") / 24))
+
+
+@query("half_space_trees")
+def half_space_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomaly scores of a user's values and hours against the window before."""
+    return fold.run_batch(_unit(spark, sf_dir), adaptive.HalfSpaceTrees(dim=2, window=20, depth=4), ["user_id"], ["ts", "event_id"], "x", "value")
+
+
+@query("dbstream")
+def dbstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.run_batch(_unit(spark, sf_dir), adaptive.DBStream(radius=0.2), ["user_id"], ["ts", "event_id"], "x", "value")
+
+
+@query("platt")
+def platt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.run_batch(scored(spark, sf_dir).withColumn("x", F.array("s")), adaptive.Platt(), ["user_id"], ["ts", "event_id"], "x", "yb")
+
+
 @query("ddm")
 def ddm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.run_batch(scored(spark, sf_dir).withColumn("x", F.array((F.col("yc") != F.col("pc")).cast("double"))), learners.DDM(), ["user_id"], ["ts", "event_id"], "x", "y")
