@@ -53,6 +53,13 @@ def test_platt_moves_toward_the_rate_of_ones():
     assert abs(p[-500:].mean() - 0.8) < 0.05
 
 
+def test_temperature_cools_scores_that_are_too_sure():
+    rng = np.random.default_rng(5)
+    z = rng.normal(0, 2, 5000)
+    p, heat = run(adaptive.Temperature(), 3 * z, rng.random(5000) < 1 / (1 + np.exp(-z)))
+    assert 2 < heat < 4.5 and ((p >= 0) & (p <= 1)).all()
+
+
 def test_bagged_is_repeatable_and_learns():
     x = np.random.default_rng(4).normal(size=(300, 2))
     model = adaptive.Bagged(5, learners.RLS(dim=2))

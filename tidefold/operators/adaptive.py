@@ -196,6 +196,21 @@ class Platt:
         return p, (a - self.rate * (p - y) * float(x[0]), b - self.rate * (p - y))
 
 
+@dataclass
+class Temperature:
+    """Probability sigmoid(z / T) of label 1 for a score z = x[0]; T follows the gradient of the log loss within [0.01, 100]."""
+
+    rate: float = 0.05
+
+    def new(self):
+        return 1.0
+
+    def step(self, heat, x, y):
+        z = float(x[0]) / heat
+        p = 1 / (1 + math.exp(-min(max(z, -500.0), 500.0)))
+        return p, min(max(heat + self.rate * (p - y) * z / heat, 0.01), 100.0)
+
+
 @dataclass
 class Bagged:
     """The mean of members that each learn a row as often as a Poisson(1) draw says; draws follow the row's number and the seed."""
