@@ -121,6 +121,31 @@ def test_lines(spark, docs):
     assert lines.line_report(empty(spark)).count() == 0
 
 
+def test_lines_recall_of_edit_similarity(spark):
+    """Against brute force on edit similarity alone: changed words and typos, short and long lines."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(2, 9)))
+    texts, pairs = [], {"words": [], "typos": []}
+    for n in [4, 5, 7, 10, 15, 20, 40, 60, 100] * 12:
+        w = [word() for _ in range(n)]
+        a = " ".join(w)
+        for k in rng.sample(range(n), max(1, n // 8)):
+            w[k] = word()
+        b = " ".join(w)
+        c = "".join(rng.choice("abcdefgh") if rng.random() < 0.05 else x for x in a)
+        for kind, other in (("words", b), ("typos", c)):
+            if other != a and lines.similar(a, other):
+                pairs[kind].append((len(texts), len(texts) + 1))
+                texts += [a + kind, other + kind]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in lines.line_report(df).collect()}
+    near = [p for p in itertools.combinations(range(len(texts)), 2) if lines.similar(texts[p[0]], texts[p[1]])]
+    up = joined_up(len(texts), near)
+    assert all(left[i] == texts[i] for i, first in enumerate(up) if first == i)
+    for kind, own in pairs.items():
+        assert len(own) > 40 and sum(left[b] == "" for _, b in own) >= 0.98 * len(own), kind
+
+
 @pytest.mark.parametrize("n", [10, 10**8, 10**10])
 def test_block_keys_cover_three_flips(n):
     masks = [m & (1 << 64) - 1 for _, m in lines.block_keys(n)]
