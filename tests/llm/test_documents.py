@@ -146,6 +146,14 @@ def test_lines_recall_of_edit_similarity(spark):
         assert len(own) > 40 and sum(left[b] == "" for _, b in own) >= 0.98 * len(own), kind
 
 
+def test_short_lines_repeat(spark):
+    long = "\u6f22\u5b57\u4eee\u540d\u4ea4\u3058\u308a\u6587" * 6
+    texts = ["Next\nread more\n--\nok\n" + long, "next!\nRead More\n--\nno\n" + long, "read more.\n\n7\nok", "8\nxy", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.line_report(df).collect()}
+    assert got == {0: (texts[0], 5, 0), 1: ("--\nno", 5, 3), 2: ("\n7", 4, 2), 3: ("xy", 2, 1), 4: (None, 0, 0)}
+
+
 @pytest.mark.parametrize("n", [10, 10**8, 10**10])
 def test_block_keys_cover_three_flips(n):
     masks = [m & (1 << 64) - 1 for _, m in lines.block_keys(n)]
