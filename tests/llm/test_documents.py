@@ -379,3 +379,42 @@ def test_quality_against_plain_counts(spark, monkeypatch):
         else:
             assert got[i].perplexity is None and not got[i].kept
     assert quality.judge(empty(spark), labels).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 60, 100_000])
+def test_quality_of_trigrams_without_a_vocabulary_limit(spark, monkeypatch, hot):
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(quality, "HOT", hot)
+    rows = [r for r in corpus() if len(r[1] or "") < 20_000]
+    words = {r[0]: re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in rows}
+    good = {i for i in words if i % 2}
+    labels = spark.createDataFrame([(i, int(i in good)) for i in words], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA), labels, order=3).collect()}
+    seq = {i: list(zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False)) for i, w in words.items()}
+    tri = Counter(t for i in good for t in seq[i])
+    bi = Counter((v, w) for _, v, w in tri)
+    uni = Counter(w for _, w in bi)
+    ds = [quality.discounts(Counter(x.values())) for x in (tri, bi, uni)]
+    cut = lambda c, d: 0 if c <= 0 else d[min(c, 3) - 1]
+    whole = sum(uni.values())
+    freed = sum(cut(c, ds[2]) for c in uni.values()) / whole / (len(uni) + 1)
+    q = lambda w: (uni[w] - cut(uni[w], ds[2])) / whole + freed
+    total, free = Counter(), Counter()
+    for counts, d in ((tri, ds[0]), (bi, ds[1])):
+        for t, c in counts.items():
+            total[t[:-1]] += c
+            free[t[:-1]] += cut(c, d)
+
+    def p(counts, d, t, c, lower):
+        n = total[t[:-1]]
+        return (max(c - cut(c, d), 0) + free[t[:-1]] * lower) / n if n else lower
+
+    for i, w in words.items():
+        own, lp = Counter(seq[i]), 0.0
+        for t, n in own.items():
+            two = p(bi, ds[1], t[1:], bi[t[1:]], q(t[2]))
+            lp += n * math.log(p(tri, ds[0], t, tri[t] - (n if i in good else 0), two))
+        if w:
+            assert got[i].perplexity == pytest.approx(math.exp(-lp / len(w)), rel=2e-3)

@@ -56,7 +56,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), order=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
