@@ -103,6 +103,35 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
+def test_windows_of_long_and_sparse_conversations(spark):
+    rng = random.Random(12)
+    say = lambda: "w " * rng.choice([0, 1, 1, 3, 8, 20, 130, 600])
+    role = lambda i: "system" if i == 3 else ("user", "assistant")[i % 2]
+    rows = [(1, i, role(i), say()) for i in range(900)] + [(2, 1000 * i - 5000, role(i), say()) for i in range(40)] + [(None, None, "user", say()), (None, -700, "user", say()), (None, 9, "user", say())]
+    rows += [(4, i, "user", "") for i in range(1200)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "conv_id long, turn long, role string, text string")
+    got = {}
+    for w in sorted(chat.windows(df).collect(), key=lambda w: (w.page, w.window)):
+        got.setdefault(w.conv_id, []).append((w.repeated, w.formatted))
+    for c in (1, 2, None, 4):
+        own = sorted(((t, r, x) for k, t, r, x in rows if k == c), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+        n = [len(x.split()) + chat.MARKS for *_, x in own]
+        first = next((i for i, x in enumerate(own) if x[1] == "system"), None)
+        room, at, want = chat.BUDGET - chat.HISTORY - (n[first] if first is not None else 0), 0, []
+        while at < len(own):
+            end = at + 1
+            while end < len(own) and sum(n[at : end + 1]) <= max(1, room):
+                end += 1
+            begin = at
+            while begin > 0 and sum(n[begin - 1 : at]) <= chat.HISTORY:
+                begin -= 1
+            lead = [first] if first is not None and not begin <= first < end else []
+            text = "".join(f"{chat.START}{own[i][1]}\n{own[i][2]}{chat.END}\n" for i in [*lead, *range(begin, end)])
+            want.append((len(lead) + at - begin, text))
+            at = end
+        assert got[c] == want
+
+
 def test_windows_keep_their_budget(spark):
     df = spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string")
     seen = 0
