@@ -314,6 +314,20 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert toxicity.score(empty(spark), net).count() == 0
 
 
+def test_toxic_rows_go_by_their_own_text(spark, monkeypatch):
+    rng = random.Random(3)
+    vocab = ["w%d" % i for i in range(200)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(30)) + (" stupid idiot" if i % 4 == 0 else "") for i in range(200)]
+    net = toxicity.train(texts, np.array([int(i % 4 == 0) for i in range(200)]))
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: net)
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[4]), (7, texts[5]), (7, texts[5]), (8, texts[8]), (9, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    bad = {t for t, p in zip(texts, net.logits(toxicity.Words(pa.array(texts))), strict=True) if 1 / (1 + np.exp(-p)) >= toxicity.THRESHOLD}
+    assert {texts[0], texts[4], texts[8]} <= bad and not {texts[1], texts[5]} & bad
+    got = [tuple(r) for r in toxicity.drop_toxic(docs, None).collect()]
+    assert sorted(got, key=str) == sorted((r for r in rows if r[1] not in bad), key=str)
+
+
 def test_gradients_of_the_network():
     net = toxicity.Net(np.arange(1, 4, dtype=np.uint64), np.zeros(3, np.float32))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

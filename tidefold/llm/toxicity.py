@@ -264,21 +264,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net | None:
     return train([r.text for r in sample], np.array([r.toxic for r in sample]))
 
 
-def score(docs: DataFrame, net: Net | None) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, held_out, score and predicted."""
+def _scored(docs: DataFrame, net: Net | None) -> DataFrame:
+    """(doc_id, h, score) per row of docs(doc_id, text); h tells texts apart."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text")
         x = np.zeros(len(texts)) if net is None else 1 / (1 + np.exp(-net.logits(Words(texts)).astype(np.float64)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(x, 6))], ["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.round(x, 6))], ["doc_id", "h", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return Scratch(docs.sparkSession, "toxicity").save(arrow_map(rows, run, "doc_id long, h long, score double"))
 
-    rows = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
-    rows = Scratch(docs.sparkSession, "toxicity").save(rows)
+
+def score(docs: DataFrame, net: Net | None) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, held_out, score and predicted."""
+    rows = _scored(docs, net)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the network trained on them and labels rejects."""
-    bad = score(docs, fit(docs, labels)).where("predicted = 1").select("doc_id").distinct()
+    """docs without the rows whose own text the network trained on them and labels rejects, also where doc_id is null or repeated."""
+    bad = _scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_id2"), F.col("h").alias("_h2")).distinct()
     bad = Scratch(docs.sparkSession, "toxic").save(bad)
-    return docs.join(small(bad, bad.count()), "doc_id", "left_anti").select(docs.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id2")) & (F.xxhash64("text") == F.col("_h2"))
+    return docs.join(small(bad, bad.count()), same, "left_anti")
