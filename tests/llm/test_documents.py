@@ -290,6 +290,44 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.judged(docs.drop("h"), bench.limit(0)).collect())
 
 
+def test_proximity_matches(spark):
+    rng = random.Random(15)
+    word = lambda: rng.choice(["the", "of", "and", *["k%d" % i for i in range(60)]])
+    items = [(i, [word() for _ in range(n)]) for i, n in enumerate([14, 20, 10, 9, 3, 1])]
+    items[1][1][4] = items[1][1][12] = "nowhere"
+    texts = [[word() for _ in range(40)] for _ in range(6)]
+    for k in range(60):
+        w = [x if x != "nowhere" else "else" for x in items[k % 5][1]]
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(w)) if w else 0
+            w[at : at + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+        texts.append([word() for _ in range(rng.randint(0, 8))] + w + [word() for _ in range(rng.randint(0, 8))])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+
+    def least(window, text):
+        d = list(range(len(window) + 1))
+        best = d[-1]
+        for x in text:
+            new = [0]
+            for i, y in enumerate(window, 1):
+                new.append(min(new[-1] + 1, d[i] + 1, d[i - 1] + (x != y)))
+            d, best = new, min(best, new[-1])
+        return best
+
+    for slop in (1, 2, 3):
+        want = {}
+        for i, t in enumerate(texts):
+            for item, own in items:
+                k = min(decontaminate.WINDOW, len(own))
+                for s in range(len(own) - k + 1):
+                    n = least(own[s : s + k], t)
+                    if n <= min(slop, (k - 1) // 2):
+                        want[i, item, s] = n
+        got = {(r.doc_id, r.item_id, r.start): r.changed for r in decontaminate.proximity(docs, bench, slop).collect()}
+        assert got == want and len(set(want.values())) == slop + 1
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark):
     rng = random.Random(2)
     vocab = ["w%d" % i for i in range(200)]

@@ -4,13 +4,16 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of whole texts with A-Z lower-
 is ten consecutive words of an item; an item of fewer words, but not none, is one
 window. A document word inside any occurrence of a window is hit.
 
+A proximity match (`proximity`) is a window that some run of a text's words equals but for at most `slop` words that are
+replaced, left out or inserted; windows of few words allow less, (words - 1) div 2 of them.
+
 Method. Corpus frequencies of the items' terms are counted (Spark combines before the shuffle).
-Each window chooses its rarest positions: one and, where it has more words, a second; windows with a
-term that the corpus lacks are out. The index holds the postings (term, document, position) of
+Each window chooses its rarest positions, two more than it allows changes (or all it has); windows with more terms that the corpus lacks
+than it allows are out, as each of them is a change. The index holds the postings (term, document, position) of
 the chosen terms only, as no other list is read. Lists are adjusted by the term's offset in
-its item and intersected: an alignment of an item in a document stands if two chosen positions (one, for items
-of a word) agree on it. On the few documents with such alignments the phrase is compared word
-by word, which gives exact matches; with `slop` the same lists give proximity matches.
+its item and intersected: each change spoils one chosen position at most, so an occurrence has two (one, for items
+of a word) that agree, and they agree to within as many places as there are changes. On the few documents with such alignments the phrase is compared word
+by word, which gives exact matches, or by edit distance over the words around the alignment, which gives proximity matches.
 Hot terms only lengthen their own lists, which are spread by document before they are intersected.
 
 Defined cases: null texts have no words; repeated item ids count once; rows that repeat
@@ -39,8 +42,8 @@ def _postings(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     return rows.join(small(terms, n, 200_000), "term")
 
 
-def alignments(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, h, item, delta): places where two chosen terms of items(item, words) agree; h tells texts apart."""
+def alignments(docs: DataFrame, items: DataFrame, scratch: Scratch, slop: int = 0) -> DataFrame:
+    """(doc_id, h, item, delta): places where two chosen terms of items(item, words) agree, to within slop; h tells texts apart."""
     at = scratch.save(items.select("item", F.size("words").alias("len"), F.posexplode("words").alias("ipos", "term")))
     terms = scratch.save(at.select("term").distinct())
     freq = scratch.save(_postings(docs, terms, terms.count()).groupBy("term").agg(F.count("*").alias("cf")))
@@ -49,30 +52,37 @@ def alignments(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame
     inside = at.join(small(freq, freq.count(), 200_000), "term", "left").withColumn("start", F.explode(F.sequence(low, high)))
     window = Window.partitionBy("item", "start")
     ranked = inside.withColumns({
-        "least": F.min(F.coalesce("cf", F.lit(0))).over(window),
+        "absent": F.count(F.when(F.col("cf").isNull(), 1)).over(window),
         "turn": F.row_number().over(window.orderBy(F.coalesce("cf", F.lit(0)), "ipos")),
+        "most": F.expr(changes(slop, "len")),
     })
-    chosen = scratch.save(ranked.where("least > 0 and turn <= 2").select("item", "len", "ipos", "term").distinct())
+    chosen = scratch.save(ranked.where("absent <= most and turn <= most + 2").select("item", "len", "ipos", "term").distinct())
     lists = scratch.save(chosen.select("term").distinct())
     index = scratch.save(_postings(docs, lists, lists.count()))
     # chosen positions of a term as one row, so that a posting is expanded after it was shuffled, by document
     own = chosen.groupBy("term").agg(F.collect_list(F.struct("item", "len", "ipos")).alias("at"))
     found = index.join(small(own, lists.count(), 50_000), "term").select("doc_id", "h", "pos", F.explode("at").alias("at"))
     found = found.select("doc_id", "h", "at.item", "at.len", (F.col("pos") - F.col("at.ipos")).alias("delta"), "at.ipos")
+    if slop:
+        # two that agree have, in order of delta, neighbours of different terms among and between them
+        near = Window.partitionBy("doc_id", "h", "item").orderBy("delta", "ipos")
+        after = found.withColumns({"ipos2": F.lead("ipos").over(near), "delta2": F.lead("delta").over(near)})
+        agree = after.where((F.col("len") == 1) | ((F.col("ipos2") != F.col("ipos")) & (F.col("delta2") - F.col("delta") <= slop)))
+        return scratch.save(agree.select("doc_id", "h", "item", "delta").distinct())
     agree = found.groupBy("doc_id", "h", "item", "len", "delta").agg(F.min("ipos").alias("a"), F.max("ipos").alias("b"))
     return scratch.save(agree.where("a <> b or len = 1").select("doc_id", "h", "item", "delta"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, slop: int | None = None) -> DataFrame:
-    """(doc_id, h, hits): for each text with any, an array of (item_id, at, width) of the windows that occur at word `at`.
+def changes(slop: int, words: str) -> str:
+    """How many words of a window of an item of so many words may be changed."""
+    return f"least({int(slop)}, (least({WINDOW}, {words}) - 1) div 2)"
 
-    With slop, proximity matches instead: (item_id, at, width) of places where the item's words, compared one by one
-    at an alignment, miss at most slop of a window's words.
-    """
-    scratch = Scratch(docs.sparkSession, "index")
+
+def _found(docs: DataFrame, items: DataFrame, scratch: Scratch, slop: int = 0) -> DataFrame:
+    """(doc_id, h, words, at): the words of each text with alignments, and these as an array of (item_id, delta, own words)."""
     items = items.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0").distinct()
     items = scratch.save(items.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"]))
-    found = alignments(docs, items, scratch)
+    found = alignments(docs, items, scratch, slop)
     n = items.count()
     by = found.join(small(items, n, 50_000), "item").groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "delta", F.col("words").alias("own"))).alias("at"))
     by = scratch.save(by)
@@ -81,15 +91,32 @@ def occurrences(docs: DataFrame, items: DataFrame, slop: int | None = None) -> D
     same = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))
     texts = texts.join(small(ids, by.count(), DOCS_BROADCAST), same, "left_semi")
     texts = scratch.save(texts.select("doc_id", "h", words_of(F.col("text")).alias("words")).dropDuplicates(["doc_id", "h"]))
-    by = by.withColumnsRenamed({"doc_id": "id2", "h": "h2"})
+    return texts.join(by.withColumnsRenamed({"doc_id": "id2", "h": "h2"}), same).drop("id2", "h2")
+
+
+def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, h, hits): for each text with any, an array of (item_id, at, width) of the windows that occur at word `at`."""
+    scratch = Scratch(docs.sparkSession, "index")
     width = f"least({WINDOW}, size(c.own))"
-    if slop is None:
-        match = f"slice(words, s + c.delta + 1, {width}) = slice(c.own, s + 1, {width})"
-    else:
-        match = f"size(filter(sequence(0, {width} - 1), i -> words[s + c.delta + i] <> c.own[s + i])) <= {int(slop)}"
+    match = f"slice(words, s + c.delta + 1, {width}) = slice(c.own, s + 1, {width})"
     span = f"if(least(size(c.own), size(words) - c.delta) - {width} >= greatest(0, -c.delta), sequence(greatest(0, -c.delta), least(size(c.own), size(words) - c.delta) - {width}), array())"
     hits = f"flatten(transform(at, c -> transform(filter({span}, s -> {match}), s -> struct(c.item_id as item_id, s + c.delta as at, {width} as width))))"
-    return scratch.save(texts.join(by, same).select("doc_id", "h", F.expr(hits).alias("hits")).where("size(hits) > 0"))
+    return scratch.save(_found(docs, items, scratch).select("doc_id", "h", F.expr(hits).alias("hits")).where("size(hits) > 0"))
+
+
+def proximity(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, h, item_id, start, changed): the windows, by their first word in the item, with a proximity match in a text, and the fewest words changed."""
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = _found(docs, items, scratch, slop).select("doc_id", "h", "words", F.explode("at").alias("c")).select("doc_id", "h", "words", "c.*")
+    rows = rows.withColumn("width", F.expr(f"least({WINDOW}, size(own))")).withColumn("start", F.explode(F.expr("sequence(0, size(own) - width)")))
+    # an agreeing pair's delta is off by at most slop, and so is the occurrence's first word
+    begin = f"greatest(0, delta + start - {2 * slop})"
+    rows = rows.withColumn("around", F.expr(f"slice(words, {begin} + 1, greatest(0, delta + start + width + {2 * slop} - {begin}))"))
+    row = "aggregate(sequence(1, width), array(0), (r, i) -> concat(r, array(least(element_at(r, -1) + 1, s.d[i] + 1, s.d[i - 1] + if(own[start + i - 1] = x, 0, 1)))))"
+    step = f"named_struct('d', {row}, 'best', s.best)"
+    least = f"aggregate(around, named_struct('d', sequence(0, width), 'best', width), (s, x) -> transform(array({step}), y -> named_struct('d', y.d, 'best', least(y.best, y.d[width])))[0], s -> s.best)"
+    rows = rows.withColumn("changed", F.expr(least)).where(F.expr(f"changed <= {changes(slop, 'size(own)')}"))
+    return scratch.save(rows.groupBy("doc_id", "h", "item_id", "start").agg(F.min("changed").alias("changed")))
 
 
 def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
