@@ -36,11 +36,12 @@ class Scratch:
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, arrow_rows: int = 512) -> DataFrame:
+        """arrow_rows bounds what a Python worker holds at once: few, as texts may be long."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         before = self.spark.conf.get(ARROW_ROWS)
-        self.spark.conf.set(ARROW_ROWS, "512")  # long texts: bounds what a Python worker holds at once
+        self.spark.conf.set(ARROW_ROWS, str(arrow_rows))
         try:
             df.write.parquet(path)
         finally:
@@ -62,6 +63,17 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one task: (node, label) with the least node as label."""
     up: dict[int, int] = {}
