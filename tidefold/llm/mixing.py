@@ -6,14 +6,14 @@ a target stops at three times its source's size and the excess is shared again b
 until none is above (water filling, solved from running sums).
 
 Method. The words of a source, documents in order of doc_id, are packed into blocks
-of BLOCK words; places come from prefix sums in two levels (chunks of doc_id, then chunk
+of BLOCK words; places come from prefix sums in two levels (ranges of the sorted rows, then range
 totals), so no task sorts a whole source. A target is met by a number of slots.
-Each output shard draws its SHARD slots from the multinomial of the sources' shares;
-a source's draws beyond its number of slots are not used and a lack is made up in extra
-shards, so each source takes exactly its number. A source's slots are numbered
+Each output shard draws its SHARD slots from the multinomial of the sources' shares. A source has as many slots as its target needs;
+draws that find a source full are drawn again, from the multinomial of what the sources have left, until none is open: shards
+keep their size and each source takes exactly its number. A source's slots are numbered
 across shards, and slot j goes to block p(j mod blocks), with p a keyed pseudorandom
 permutation of the source's block numbers, another one for each time round. Slots and blocks are
-then joined by source and block number. As slots are at most three times the blocks,
+then joined by source and block number; texts are joined once, after that, to the places taken from them. As slots are at most three times the blocks,
 no block, and so no document, is taken more than three times. All draws are hashes of the
 seed, so reruns agree.
 
@@ -32,8 +32,8 @@ from .common import Scratch, small
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST = (5, 2, 1), 3
 BLOCK, SHARD, SEED = 256, 4096, 17
-#: doc_ids in a chunk of the first level of prefix sums; cells of the lookup from a draw to its source; rounds of the permutation.
-CHUNK, CELLS, ROUNDS = 4096, 1024, 20
+#: Rows in a range of the first level of prefix sums; cells of the lookup from a draw to its source; rounds of the permutation.
+CHUNK, CELLS, ROUNDS = 1 << 18, 1024, 20
 
 
 def n_words(text: Column) -> Column:
@@ -67,50 +67,60 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def placed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rows, sources): a row per document with its place in its source, and the sources with their targets."""
-    rows = scratch.save(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    sources = scratch.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    rows = rows.withColumns({"sid": source_key(), "chunk": F.floor(F.col("doc_id") / CHUNK)}).drop("source")
-    within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size")
+    """(rows, sources): a row per document with its place in its source, and the sources with their targets; h tells texts apart."""
+    spark = docs.sparkSession
+    plain = scratch.save(docs.select("doc_id", "source", F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("size")))
+    sources = scratch.save(targets(plain.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    order = ["doc_id", "size", "h", "tie"]  # tie only spreads rows that are equal otherwise, and so interchangeable
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), plain.count() // CHUNK + 1)
+    rows = plain.withColumns({"sid": source_key(), "tie": F.monotonically_increasing_id()}).drop("source")
+    rows = rows.repartitionByRange(parts, "sid", *order).withColumn("chunk", F.spark_partition_id().cast("long"))
+    within = Window.partitionBy("sid", "chunk").orderBy(*order)
+    rows = scratch.save(rows)
+    scratch.drop(plain)
     rows = rows.withColumns({
         "turn": F.row_number().over(within),
         "at": F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    })
-    rows = scratch.save(rows)
+    }).drop("tie")
     totals = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("sum"))
     along = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = scratch.save(totals.select(F.col("sid").alias("sid2"), F.col("chunk").alias("chunk2"), F.coalesce(F.sum("sum").over(along), F.lit(0)).alias("start")))
-    rows = rows.join(small(starts, starts.count()), (F.col("sid") == F.col("sid2")) & F.col("chunk").eqNullSafe(F.col("chunk2")))
-    return rows.select("doc_id", "size", "sid", "chunk", "turn", (F.col("at") + F.col("start")).alias("at")), sources
+    rows = rows.join(small(starts, starts.count()), (F.col("sid") == F.col("sid2")) & (F.col("chunk") == F.col("chunk2")))
+    return rows.select("doc_id", "h", "size", "sid", "chunk", "turn", (F.col("at") + F.col("start")).alias("at")), sources
+
+
+def counts(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """(shard, sid, n): the slots of each shard by source; multinomial draws, those that find a source full drawn again over what is left."""
+    total, n = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count("*")).first()
+    left, lack, turn, out = sources.select("sid", F.col("slots").alias("left")).where("slots > 0"), total, 0, None
+    draws = sources.sparkSession.range(total).select(F.floor(F.col("id") / SHARD).alias("shard"), F.col("id").alias("k"))
+    while lack or out is None:
+        span = left.withColumn("hi", F.sum("left").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)))
+        span = span.withColumn("lo", F.col("hi") - F.col("left"))
+        cell = lambda c, most=max(lack, 1): F.floor(c * F.lit(float(CELLS)) / most).cast("long")
+        grid = scratch.save(span.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1)))))
+        x = draws.select("shard", F.pmod(F.xxhash64(F.lit(SEED), F.lit(turn), "shard", "k"), F.lit(max(lack, 1))).alias("x"))
+        hit = x.withColumn("cell", cell(F.col("x"))).join(small(grid, n + CELLS), "cell").where("lo <= x and x < hi")
+        drawn = hit.groupBy("shard", "sid", "left").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        drawn = scratch.save(drawn.withColumn("ok", F.least("n", F.greatest(F.col("left") - before, F.lit(0)))))
+        kept = drawn.where("ok > 0").select("shard", "sid", F.col("ok").alias("n"))
+        out = kept if out is None else out.union(kept)
+        open_ = drawn.groupBy("shard").agg(F.sum(F.col("n") - F.col("ok")).alias("lack")).where("lack > 0")
+        draws = scratch.save(open_.select("shard", F.explode(F.sequence(F.lit(1).cast("long"), "lack")).alias("k")))
+        lack, turn = draws.count(), turn + 1
+        used = drawn.groupBy("sid").agg(F.sum("ok").alias("used"))
+        left = scratch.save(left.join(used, "sid", "left").select("sid", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")).where("left > 0"))
+    return scratch.save(out.groupBy("shard", "sid").agg(F.sum("n").alias("n")))
 
 
 def drawn(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """(shard, slot, sid, block): every slot of the mix with the block it takes."""
-    total, n = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count("*")).first()
-    total = max(total, 1)
-    shards = -(-total // SHARD)
-    along = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    span = sources.where("slots > 0").select("sid", "slots", "blocks", F.sum("slots").over(along).alias("hi"))
-    span = span.withColumn("lo", F.col("hi") - F.col("slots"))
-    cell = lambda c: F.floor(c * F.lit(float(CELLS)) / total).cast("long")
-    grid = scratch.save(span.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1)))))
-    draw = sources.sparkSession.range(total).select(
-        F.floor(F.col("id") / SHARD).alias("shard"), F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(total)).alias("x")
-    )
-    hit = draw.withColumn("cell", cell(F.col("x"))).join(small(grid, n + CELLS), "cell").where("lo <= x and x < hi")
-    counts = hit.groupBy("shard", "sid").agg(F.count("*").alias("n"))
-    had = scratch.save(counts)
-    lack = sources.join(had.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left")
-    lack = lack.select(F.lit(shards).alias("shard"), "sid", (F.col("slots") - F.coalesce("got", F.lit(0))).alias("n")).where("n > 0")
     from_ = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    runs = had.union(lack).withColumn("to", F.sum("n").over(from_))
-    runs = runs.join(small(sources, n).select("sid", "slots", "blocks"), "sid")
-    runs = runs.withColumns({"lo": F.col("to") - F.col("n"), "to": F.least("to", "slots")}).where("lo < to")
-    # long runs are cut before they are expanded, so that no task expands a whole source
-    runs = runs.withColumn("lo", F.explode(F.sequence("lo", F.col("to") - 1, F.lit(SHARD)))).withColumn("to", F.least("to", F.col("lo") + SHARD))
-    slots = runs.repartition("sid", "lo").withColumn("j", F.explode(F.sequence("lo", F.col("to") - 1)))
-    extra = F.when(F.col("shard") >= shards, F.col("shard") + F.pmod(F.floor(F.col("j") / SHARD), F.lit(max(1, shards)))).otherwise(F.col("shard"))
-    return slots.select(extra.alias("shard"), F.xxhash64("sid", "j").alias("slot"), "sid", permuted().alias("block"))
+    runs = counts(sources, scratch).withColumn("to", F.sum("n").over(from_))
+    runs = runs.join(small(sources, sources.count()).select("sid", "blocks"), "sid").withColumn("lo", F.col("to") - F.col("n"))
+    slots = runs.withColumn("j", F.explode(F.sequence("lo", F.col("to") - 1)))
+    return slots.select("shard", F.xxhash64("sid", "j").alias("slot"), "sid", permuted().alias("block"))
 
 
 def permuted() -> Column:
@@ -154,13 +164,29 @@ def mixed_blocks(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "mixed")
     rows, sources = placed(docs, scratch)
-    slots = scratch.save(drawn(sources, scratch))
-    # the same rows again, now with their words: rows that tie in doc_id and size are told apart by turn
-    own = docs.select("doc_id", "source", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
-    own = own.withColumns({"sid": source_key(), "chunk": F.floor(F.col("doc_id") / CHUNK), "size": F.coalesce(F.size("words"), F.lit(0)).cast("long")})
-    own = own.withColumn("turn", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("doc_id", "size")))
-    key = [F.col(f"o.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("sid", "chunk", "turn")]
-    both = own.where("size > 0").alias("o").join(rows.alias("r"), key).select("r.*", "o.source", "o.words")
-    words = F.array_join(F.slice("words", (F.col("word") + 1).cast("int"), F.col("n").cast("int")), " ")
-    cut = pieces(both).withColumn("text", words).drop("words")
-    return cut.join(slots, ["sid", "block"]).select("shard", "slot", "source", "block", "offset", "doc_id", "word", F.col("n").alias("n_words"), "text")
+    rows = scratch.save(rows.where("size > 0"))
+    slots = drawn(sources, scratch)
+    taken = pieces(rows).join(slots, ["sid", "block"])
+    piece = F.struct("shard", "slot", "block", *[F.col(c).cast("int").alias(c) for c in ("offset", "word", "n")])
+    # a document's own pieces; documents that are equal in all are kept apart by chunk and turn
+    lists = taken.groupBy("sid", "doc_id", "h", "chunk", "turn").agg(F.collect_list(piece).alias("pieces"))
+    same = ["sid", "doc_id", "h"]
+    twice = scratch.save(rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same))
+    texts = docs.select(source_key().alias("sid"), "doc_id", F.xxhash64("text").alias("h"), "source", "text")
+    if n := twice.count():
+        # one copy of a repeated row is enough, as each list of its places takes its words from it
+        key = lambda a, b: (a["sid"] == b["sid"]) & a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
+        few = small(twice, n)
+        copies = texts.join(few, key(texts, few), "left_semi").groupBy(*same).agg(F.first("source").alias("source"), F.first("text").alias("text"))
+        texts = texts.join(few, key(texts, few), "left_anti").union(copies)
+    lists = lists.withColumnsRenamed({"sid": "sid2", "doc_id": "id2", "h": "h2"})
+    both = texts.join(lists, (F.col("sid") == F.col("sid2")) & F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")))
+    # the words are bound once a document (a let by an array of one), then sliced piece by piece
+    part = lambda w, p: F.array_join(F.slice(w, p["word"] + 1, p["n"]), " ")
+    words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    cut = F.transform(words, lambda w: F.transform("pieces", lambda p: F.struct(p.alias("p"), part(w, p).alias("part"))))
+    cut = both.select("source", "doc_id", F.explode(cut[0]).alias("e")).select("source", "doc_id", "e.p", "e.part")
+    return cut.select(
+        "p.shard", "p.slot", "source", "p.block", F.col("p.offset").cast("long").alias("offset"), "doc_id", F.col("p.word").cast("long").alias("word"),
+        F.col("p.n").cast("long").alias("n_words"), F.col("part").alias("text"),
+    )
