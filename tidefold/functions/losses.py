@@ -14,6 +14,36 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
+def erf(x: Column) -> Column:
+    """The error function to 1.5e-7 (Abramowitz and Stegun 7.1.26)."""
+    a = F.abs(x)
+    t = 1 / (1 + 0.3275911 * a)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return F.signum(x) * (1 - poly * F.exp(-a * a))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """The inner product of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def mat_vec(rows: list[list[float]], x: Column) -> Column:
+    """A fixed matrix times an array."""
+    return F.array(*[dot(F.array(*map(F.lit, r)), x) for r in rows])
+
+
+def softmax(x: Column, heat: float = 1.0) -> Column:
+    """exp(x / heat) of an array as shares."""
+    e = F.transform(x, lambda v: F.exp((v - F.array_max(x)) / heat))
+    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
+
+
+def softmax_loss(y: Column, p: Column, label: int) -> tuple[Column, Column]:
+    """One class's gradient and hessian against the rest."""
+    s = sigmoid(p)
+    return s - (y == label).cast("double"), F.greatest(s * (1 - s), F.lit(1e-16))
+
+
 def squared(y: Column, p: Column) -> tuple[Column, Column]:
     return p - y, F.lit(1.0)
 

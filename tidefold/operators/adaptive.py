@@ -104,15 +104,24 @@ class Snarimax:
         p = float(w @ z)
         e = min(max(y - p, -1e6), 1e6)
         keep = max(self.p, self.q, self.season * max(self.sp, self.sq), 1)
-        return p, (w + self.rate * e * z / (1.0 + z @ z), [*ys, y][-keep:], [*es, e][-keep:])
+        return p, (w + self.rate * e * z, [*ys, y][-keep:], [*es, e][-keep:])
+
+    def forecast(self, s, steps: int, x=()) -> list[float]:
+        """The next values, each from the ones before it, with errors of 0."""
+        out = []
+        for _ in range(steps):
+            p, (_, ys, es) = self.step(s, np.asarray(x, float), 0.0)
+            s = (s[0], [*ys[:-1], p], [*es[:-1], 0.0])
+            out.append(p)
+        return out
 
 
 @dataclass
 class HalfSpaceTrees:
-    """Anomaly score in [0, 1] of rows in the unit cube: 1 where the last window left no mass.
+    """Anomaly score in [0, 1] of rows: 1 less the path's mass of the last full window, weighted by 2^(depth - level), against the most possible.
 
-    Trees halve a random feature's range at each level. A leaf's mass is what the last full window put there;
-    every `window` rows the running masses become the reference.
+    Trees halve a random feature's range at each level, within `ranges` (the unit cube by default). Every `window` rows the running
+    masses become the reference.
     """
 
     dim: int
@@ -120,9 +129,26 @@ class HalfSpaceTrees:
     depth: int = 6
     window: int = 100
     seed: int = 0
+    ranges: tuple | None = None
 
     def __post_init__(self):
-        self.features = np.random.default_rng(self.seed).integers(0, self.dim, (self.trees, 2**self.depth - 1))
+        inner = 2**self.depth - 1
+        rng = np.random.default_rng(self.seed)
+        self.features = rng.integers(0, self.dim, (self.trees, inner))
+        self.cuts = np.zeros((self.trees, inner))
+        lo, hi = np.array(self.ranges or [(0.0, 1.0)] * self.dim, float).T
+        box = {0: (np.tile(lo, (self.trees, 1)), np.tile(hi, (self.trees, 1)))}
+        each = np.arange(self.trees)
+        for node in range(inner):
+            low, high = box.pop(node)
+            f = self.features[:, node]
+            self.cuts[:, node] = (low[each, f] + high[each, f]) / 2
+            for child in (2 * node + 1, 2 * node + 2):
+                a, b = low.copy(), high.copy()
+                (b if child % 2 else a)[each, f] = self.cuts[:, node]
+                box[child] = a, b
+        levels = np.arange(self.depth + 1)
+        self.weights = 2.0 ** (self.depth - levels)
 
     def new(self):
         shape = (self.trees, 2 ** (self.depth + 1) - 1)
@@ -130,19 +156,14 @@ class HalfSpaceTrees:
 
     def step(self, s, x, y):
         last, now, n = s
-        total = 0.0
-        for t in range(self.trees):
-            low, high, node = np.zeros(self.dim), np.ones(self.dim), 0
-            now[t, 0] += 1
-            while node < self.features.shape[1]:
-                f = self.features[t, node]
-                mid = (low[f] + high[f]) / 2
-                right = x[f] > mid
-                (low if right else high)[f] = mid
-                node = 2 * node + 1 + int(right)
-                now[t, node] += 1
-            total += last[t, node] * 2.0**self.depth
-        score = 1.0 - min(total / (self.trees * self.window * 2.0**self.depth), 1.0)
+        each, node, total = np.arange(self.trees), np.zeros(self.trees, np.int64), 0.0
+        for level in range(self.depth + 1):
+            now[each, node] += 1
+            total += float(last[each, node].sum()) * self.weights[level]
+            if level < self.depth:
+                node = 2 * node + 1 + (x[self.features[each, node]] >= self.cuts[each, node])
+        # the most that a path can hold: the whole window at every level
+        score = 1.0 - min(total / (self.trees * self.window * float(self.weights.sum())), 1.0)
         if n + 1 == self.window:
             return float(score), (now, np.zeros_like(now), 0)
         return float(score), (last, now, n + 1)
@@ -150,34 +171,60 @@ class HalfSpaceTrees:
 
 @dataclass
 class DBStream:
-    """Density clusters: a row joins and moves every micro-cluster within `radius`; weights decay by 2^-decay a row.
+    """Density clusters: a row moves the nearest micro-cluster within `radius`, or starts one, and ties together all within it.
 
-    Predicts the number of the nearest micro-cluster that took the row. Clusters lighter than `least` go every `clean` rows.
+    Weights and ties fade by 2^-decay a row; clusters lighter than `least` go every `clean` rows. Predicts the number of the micro-cluster
+    that took the row. `macro` joins micro-clusters whose tie is at least `share` of their mean weight.
     """
 
     radius: float
     decay: float = 0.001
     least: float = 0.1
     clean: int = 200
+    share: float = 0.3
 
     def new(self):
-        return {"next": 0, "t": 0, "at": {}}
+        return {"next": 0, "t": 0, "at": {}, "ties": {}}
+
+    def _now(self, s, value):
+        weight, t = value
+        return weight * 2.0 ** (-self.decay * (s["t"] - t))
 
     def step(self, s, x, y):
-        s["t"] += 1
-        near = sorted((float(((c - x) ** 2).sum()), i) for i, (c, _, _) in s["at"].items())
+        near = sorted((float(((c - x) ** 2).sum()), i) for i, (c, _) in s["at"].items())
         near = [i for d, i in near if d <= self.radius**2]
-        if not near:
-            near = [s["next"]]
-            s["at"][s["next"]] = (x.copy(), 0.0, s["t"])
+        if near:
+            first = near[0]
+            c, w = s["at"][first]
+            w = self._now(s, w)
+            s["at"][first] = ((c * w + x) / (w + 1), (w + 1, s["t"]))
+            for k, a in enumerate(sorted(near)):
+                for b in sorted(near)[k + 1 :]:
+                    s["ties"][a, b] = (self._now(s, s["ties"].get((a, b), (0.0, s["t"]))) + 1, s["t"])
+        else:
+            first = s["next"]
+            s["at"][first] = (x.copy(), (1.0, s["t"]))
             s["next"] += 1
-        for i in near:
-            c, weight, t = s["at"][i]
-            weight = weight * 2 ** (-self.decay * (s["t"] - t)) + 1
-            s["at"][i] = (c + (x - c) / weight, weight, s["t"])
+        s["t"] += 1
         if s["t"] % self.clean == 0:
-            s["at"] = {i: v for i, v in s["at"].items() if v[1] * 2 ** (-self.decay * (s["t"] - v[2])) >= self.least}
-        return float(near[0]), s
+            s["at"] = {i: v for i, v in s["at"].items() if self._now(s, v[1]) >= self.least}
+            s["ties"] = {k: v for k, v in s["ties"].items() if k[0] in s["at"] and k[1] in s["at"]}
+        return float(first), s
+
+    def macro(self, s) -> dict[int, int]:
+        """The least micro-cluster that each one is joined to."""
+        up = {i: i for i in s["at"]}
+
+        def top(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for (a, b), tie in s["ties"].items():
+            if a in up and b in up and self._now(s, tie) >= self.share * (self._now(s, s["at"][a][1]) + self._now(s, s["at"][b][1])) / 2:
+                a, b = sorted((top(a), top(b)))
+                up[b] = a
+        return {i: top(i) for i in up}
 
 
 @dataclass

@@ -10,7 +10,7 @@ import numpy as np
 
 @dataclass
 class Linear:
-    """Least squares by stochastic gradient; ridge shrinks the weights before a step, lasso after it."""
+    """Least squares by stochastic gradient with a bias that is never regularised; ridge shrinks the weights before a step, lasso after it."""
 
     dim: int
     rate: float = 0.01
@@ -18,100 +18,56 @@ class Linear:
     lasso: float = 0.0
 
     def new(self):
-        return np.zeros(self.dim)
+        return np.zeros(self.dim + 1)
 
-    def step(self, w, x, y):
-        p = float(w @ x)
-        w = w * (1 - self.rate * self.ridge) - 2 * self.rate * (p - y) * x
-        return p, np.sign(w) * np.maximum(np.abs(w) - self.rate * self.lasso, 0)
+    def step(self, s, x, y):
+        w, bias = s[:-1], s[-1]
+        p = float(w @ x) + float(bias)
+        move = 2 * self.rate * (p - y)
+        w = w * (1 - self.rate * self.ridge) - move * x
+        w = np.sign(w) * np.maximum(np.abs(w) - self.rate * self.lasso, 0)
+        return p, np.append(w, bias - move)
 
 
 @dataclass
 class RLS:
-    """Recursive least squares without intercept, with a forgetting factor; the covariance restarts if it degenerates."""
+    """Recursive least squares without intercept.
+
+    With `adaptive`, the forgetting factor falls a little when an error exceeds the usual one, and rises when it is smaller, within
+    0.95 and 1. State: weights, covariance, smoothed squared error (the noise variance) and smoothed absolute error. If the covariance
+    or the weights degenerate, all of it starts again from zero weights. `interval` gives (mean, low, high).
+    """
 
     dim: int
     forgetting: float = 1.0
     start: float = 100.0
+    adaptive: bool = False
 
     def new(self):
-        return np.zeros(self.dim), np.eye(self.dim) * self.start
+        return np.zeros(self.dim), np.eye(self.dim) * self.start, 0.0, 0.0
 
     def step(self, s, x, y):
-        w, c = s
+        w, c, mse, usual = s
         p = float(w @ x)
-        g = c @ x / (self.forgetting + x @ c @ x)
-        w, c = w + g * (y - p), (c - np.outer(g, x @ c)) / self.forgetting
+        err = y - p
+        mse = 0.99 * mse + 0.01 * err * err
+        keep = self.forgetting
+        if self.adaptive:
+            usual = 0.99 * usual + 0.01 * abs(err)
+            ratio = min(max(abs(err) / usual, 0.1), 10.0) if usual > 1e-15 else 1.0
+            keep = min(max(keep * min(max(1 - 0.001 * (ratio - 1), 0.99), 1.001), 0.95), 1.0)
+        u = c @ x
+        g = u / max(keep + float(x @ u), 1e-8)
+        w, c = w + g * err, (c - np.outer(g, u)) / keep
         d = np.diag(c)
-        if not np.isfinite(c).all() or (d < 0).any() or d.max() > 1e10:
-            c = np.eye(self.dim) * self.start
-        return p, (w, c)
-
-
-@dataclass
-class Boosting:
-    """Gradient boosting of small online trees for squared loss.
-
-    Every tree is a fixed-depth tree of leaves that hold gradient sums; a leaf splits at a feature's running mean once its
-    gain over the best other feature passes the Hoeffding bound or the tie threshold (checked every `grace` rows).
-    """
-
-    dim: int
-    steps: int = 20
-    depth: int = 4
-    rate: float = 0.1
-    grace: int = 50
-    delta: float = 1e-3
-    tie: float = 0.05
-    reg: float = 1.0
-
-    def _leaf(self, depth):
-        return {"d": depth, "n": 0, "g": 0.0, "m": np.zeros(self.dim), "l": np.zeros((self.dim, 2))}
+        if not (np.isfinite(d).all() and np.isfinite(w).all()) or d.min() < 0 or d.max() > 1e10:
+            return p, self.new()
+        return p, (w, c, mse, usual)
 
-    def new(self):
-        return {"base": 0.0, "n": 0, "trees": [self._leaf(0) for _ in range(self.steps)]}
-
-    def _value(self, leaf):
-        return -leaf["g"] / (leaf["n"] + self.reg)
-
-    def step(self, s, x, y):
-        leaves, p = [], s["base"]
-        for t in s["trees"]:
-            while "f" in t:
-                t = t["lo"] if x[t["f"]] <= t["t"] else t["hi"]
-            leaves.append(t)
-            p += self.rate * self._value(t)
-        if s["n"] < 50:
-            s["base"] += (y - s["base"]) / (s["n"] + 1)
-        s["n"] += 1
-        run = s["base"]
-        for leaf in leaves:
-            g = run - y
-            run += self.rate * self._value(leaf)
-            leaf["n"] += 1
-            leaf["g"] += g
-            leaf["m"] += (x - leaf["m"]) / leaf["n"]
-            low = x <= leaf["m"]
-            leaf["l"][low] += (g, 1.0)
-            if leaf["d"] < self.depth and leaf["n"] % self.grace == 0:
-                self._split(leaf)
-        return float(p), s
-
-    def _split(self, leaf):
-        gl, nl = leaf["l"].T
-        g, n = leaf["g"], leaf["n"]
-        gain = gl**2 / (nl + self.reg) + (g - gl) ** 2 / (n - nl + self.reg) - g * g / (n + self.reg)
-        gain[(nl < 1) | (n - nl < 1)] = -np.inf
-        order = np.argsort(-gain, kind="stable")
-        eps = math.sqrt(math.log(1 / self.delta) / (2 * n))
-        best = gain[order[0]]
-        if best > 0 and (len(order) < 2 or best - max(gain[order[1]], 0) > eps * best or eps < self.tie):
-            f = int(order[0])
-            lo, hi = self._leaf(leaf["d"] + 1), self._leaf(leaf["d"] + 1)
-            lo["g"], lo["n"], hi["g"], hi["n"] = float(gl[f]), int(nl[f]), float(g - gl[f]), int(n - nl[f])
-            t = float(leaf["m"][f])
-            leaf.clear()
-            leaf.update(f=f, t=t, lo=lo, hi=hi)
+    def interval(self, s, x, z=1.96):
+        w, c, mse, _ = s
+        p, sd = float(w @ x), math.sqrt(mse * (1 + float(x @ c @ x)))
+        return p, p - z * sd, p + z * sd
 
 
 @dataclass
@@ -142,7 +98,11 @@ class DDM:
 
 @dataclass
 class ADWIN:
-    """Adaptive windowing over exponential buckets: 1 where the window's older part was cut off."""
+    """Adaptive windowing over exponential buckets: 0 stable, 1 warning, 2 drift (the window's older part is cut off).
+
+    Cuts are tried from the newest bucket on; a cut whose means differ by sqrt(ln(4 ln(W) / delta) / (2 m)) or more, with
+    m = 1 / (1/n0 + 1/n1), is a drift; twice the delta gives warnings. Windows of at most `least` rows are never cut.
+    """
 
     delta: float = 0.002
     rows: int = 5
@@ -151,67 +111,83 @@ class ADWIN:
     def new(self):
         return []
 
-    def step(self, buckets, x, y):
-        buckets.append((1, float(x[0]), 0.0))
-        size = 1
-        while True:  # of more than `rows` buckets of a size the two oldest become one
-            own = [i for i, b in enumerate(buckets) if b[0] == size]
-            if len(own) <= self.rows:
-                break
-            i = own[0]
-            (n, a, u), (m, b, v) = buckets[i], buckets[i + 1]
-            buckets[i : i + 2] = [(n + m, a + b, u + v + n * m / (n + m) * (a / n - b / m) ** 2)]
-            size *= 2
-        cut = 0.0
-        again = True
-        while again and sum(b[0] for b in buckets) >= self.least:
-            again = False
-            n, total = sum(b[0] for b in buckets), sum(b[1] for b in buckets)
-            mean = total / n
-            var = sum(b[2] + b[0] * (b[1] / b[0] - mean) ** 2 for b in buckets) / n
-            log = math.log(4 * math.log(n) / self.delta) if n > 1 else 0.0
-            n0 = s0 = 0.0
-            for c, t, _ in buckets[:-1]:
-                n0, s0 = n0 + c, s0 + t
-                m = 1 / (1 / n0 + 1 / (n - n0))
-                eps = math.sqrt(2 / m * var * log / 2) + 2 / (3 * m) * log
-                if abs(s0 / n0 - (total - s0) / (n - n0)) > eps:
-                    buckets.pop(0)
-                    cut, again = 1.0, True
-                    break
-        return cut, buckets
+    def step(self, s, x, y):
+        """s: a list of rows by bucket size, each a list of (count, total), oldest first."""
+        if not s:
+            s.append([])
+        s[0].append((1, float(x[0])))
+        k = 0
+        while k < len(s) and len(s[k]) > self.rows:
+            (n, a), (m, b) = s[k].pop(0), s[k].pop(0)
+            if k + 1 == len(s):
+                s.append([])
+            s[k + 1].append((n + m, a + b))
+            k += 1
+        flat = [b for row in s for b in reversed(row)]  # newest first
+        count, total = np.array([b[0] for b in flat]), np.array([b[1] for b in flat])
+        width = int(count.sum())
+        if width <= max(self.least, 3):
+            return 0.0, s
+        right, sums = np.cumsum(count)[:-1], np.cumsum(total)[:-1]
+        left = width - right
+        gap = np.abs((total.sum() - sums) / left - sums / right)
+        inverse = (1 / left + 1 / right) / 2
+        bound = np.sqrt(inverse * math.log(4 * math.log(width) / self.delta))
+        over = np.flatnonzero(gap >= bound)
+        if not len(over):
+            return float((gap >= np.sqrt(inverse * math.log(4 * math.log(width) / (2 * self.delta)))).any()), s
+        kept, out = int(over[0]) + 1, []
+        for row in s:
+            take = min(kept, len(row))
+            out.append(row[len(row) - take :])
+            kept -= take
+        while out and not out[-1]:
+            out.pop()
+        return 2.0, out
 
 
 @dataclass
 class HoltWinters:
-    """Additive triple exponential smoothing; the first period starts level and seasons and is then replayed. Predictions ignore x."""
+    """Triple exponential smoothing, additive or multiplicative seasons; the first period starts level and seasons and is then replayed. Predictions ignore x."""
 
     period: int
     alpha: float = 0.3
     beta: float = 0.1
     gamma: float = 0.1
+    multiplicative: bool = False
 
     def new(self):
         return {"start": [], "level": 0.0, "trend": 0.0, "season": None, "t": 0}
 
+    def forecast(self, s, ahead: int = 1) -> float:
+        base, season = s["level"] + ahead * s["trend"], s["season"][(s["t"] + ahead - 1) % self.period]
+        return float(base * season if self.multiplicative else base + season)
+
     def step(self, s, x, y):
         if s["season"] is None:
             s["start"].append(y)
             if len(s["start"]) == self.period:
                 s["level"] = sum(s["start"]) / self.period
-                s["season"] = [v - s["level"] for v in s["start"]]
+                s["season"] = [self._apart(v, s["level"]) for v in s["start"]]
                 for v in s["start"]:
                     self._update(s, v)
             return 0.0, s
-        p = s["level"] + s["trend"] + s["season"][s["t"] % self.period]
+        p = self.forecast(s)
         self._update(s, y)
-        return float(p), s
+        return p, s
+
+    def _apart(self, y, level):
+        if not self.multiplicative:
+            return y - level
+        return y / level if abs(level) > 1e-15 else 1.0
 
     def _update(self, s, y):
         i, level = s["t"] % self.period, s["level"]
-        s["level"] = self.alpha * (y - s["season"][i]) + (1 - self.alpha) * (level + s["trend"])
+        season = s["season"][i]
+        plain = y - season if not self.multiplicative else (y / season if abs(season) > 1e-15 else y)
+        s["level"] = self.alpha * plain + (1 - self.alpha) * (level + s["trend"])
         s["trend"] = self.beta * (s["level"] - level) + (1 - self.beta) * s["trend"]
-        s["season"][i] = self.gamma * (y - s["level"]) + (1 - self.gamma) * s["season"][i]
+        s["season"][i] = self.gamma * self._apart(y, s["level"]) + (1 - self.gamma) * season
         s["t"] += 1
 
 
@@ -232,9 +208,9 @@ class KMeans:
             counts.append(1.0)
             return float(len(centers) - 1), s
         i = int(np.argmin([((c - x) ** 2).sum() for c in centers]))
-        counts[:] = [c * self.forgetting for c in counts]
         counts[i] += 1
         centers[i] = centers[i] + (x - centers[i]) / counts[i]
+        counts[:] = [c * self.forgetting for c in counts]
         return float(i), s
 
 

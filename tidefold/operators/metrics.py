@@ -78,6 +78,54 @@ def rolling_accuracy(rows: DataFrame, y: str, p: str, key: list[str], order: lis
     return rows.select(*key, *order, F.avg((F.col(y) == F.col(p)).cast("double")).over(w).alias("accuracy"))
 
 
+def rolling_classification(rows: DataFrame, y: str, p: str, key: list[str], order: list[str], size: int) -> DataFrame:
+    """Accuracy, and precision, recall and F1 of class 1, over the last `size` rows, at every row."""
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(1 - size, 0)
+    t, q = F.col(y) == 1, F.col(p) == 1
+    tp, pp, ap = (F.sum(c.cast("int")).over(w).cast("double") for c in (t & q, q, t))
+    return rows.select(
+        *key, *order, F.avg((F.col(y) == F.col(p)).cast("double")).over(w).alias("accuracy"),
+        _safe(tp, pp).alias("precision"), _safe(tp, ap).alias("recall"), _safe(2 * tp, pp + ap).alias("f1"),
+    )
+
+
+def windowed_auc(rows: DataFrame, y: str, score: str, key: list[str], order: list[str], size: int) -> DataFrame:
+    """Area under the ROC curve of each key's last `size` rows."""
+    last = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order]))
+    return auc(rows.withColumn("_last", last).where(F.col("_last") <= size).drop("_last"), y, score, key)
+
+
+def metric_set(y: Column, p: Column, yc: Column, pc: Column) -> dict[str, Column]:
+    """Regression metrics of (y, p) and classification metrics of (yc, pc) in one pass."""
+    return {**regression(y, p), **{k: v for k, v in classification(yc, pc).items() if k != "n"}}
+
+
+def ewma_classification(rows: DataFrame, y: str, p: str, proba: str, key: list[str], order: list[str], span: int, clip: float = 1e-15) -> DataFrame:
+    """Exponentially weighted accuracy and log loss after the last row."""
+    q = F.least(F.greatest(F.col(proba), F.lit(clip)), F.lit(1 - clip))
+    loss = -F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q))
+    seq = running(rows.withColumns({"_a": (F.col(y) == F.col(p)).cast("double"), "_s": loss}), key, order, ["_a", "_s"])
+    return seq.select(*key, _smooth("_a", span).alias("accuracy"), _smooth("_s", span).alias("log_loss"))
+
+
+def ewma_r2(rows: DataFrame, y: str, p: str, key: list[str], order: list[str], span: int) -> DataFrame:
+    """1 - smoothed squared error / smoothed squared distance from the smoothed mean of the rows before; 0 without variance."""
+    a = 2.0 / (span + 1)
+    mix = lambda old, new: f"if(s.n = 0, {new}, {a}D * {new} + {1 - a}D * {old})"
+    step = (
+        f"named_struct('n', s.n + 1, 'mse', {mix('s.mse', 'r._e')}, 'var', if(s.n = 0, 0D, {a}D * (r._y - s.mean) * (r._y - s.mean) + {1 - a}D * s.var),"
+        f" 'mean', {mix('s.mean', 'r._y')})"
+    )
+    seq = running(rows.withColumns({"_e": F.pow(F.col(y) - F.col(p), 2), "_y": F.col(y).cast("double")}), key, order, ["_e", "_y"])
+    s = F.expr(f"aggregate(rows, named_struct('n', 0L, 'mse', 0D, 'var', 0D, 'mean', 0D), (s, r) -> {step})")
+    return seq.withColumn("_s", s).select(*key, F.expr("if(_s.var > 1e-15, 1 - _s.mse / _s.var, 0D)").alias("r2"))
+
+
+def _smooth(field: str, span: int) -> Column:
+    a = 2.0 / (span + 1)
+    return F.aggregate(F.transform("rows", lambda r: r[field]), F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(a * x + (1 - a) * acc))
+
+
 def ewma_error(rows: DataFrame, y: str, p: str, key: list[str], order: list[str], span: int) -> DataFrame:
     """Exponentially weighted MAE and MSE after the last row; alpha = 2 / (span + 1), the first row is the seed."""
     a = 2.0 / (span + 1)

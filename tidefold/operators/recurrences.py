@@ -17,16 +17,23 @@ def _fold(rows: DataFrame, key: list[str], order: list[str], x: str, init: str,
 
 
 def page_hinkley(rows: DataFrame, key: list[str], order: list[str], x: str, delta: float = 0.005, threshold: float = 50.0) -> DataFrame:
-    """Two-sided Page-Hinkley: deviations from the running mean (this row included); on drift the sums restart, mean and count go on."""
+    """Two-sided Page-Hinkley: deviations from the running mean (this row included); on drift the sums restart, mean and count go on.
+
+    warnings counts the rows beyond half the threshold that are no drift; state is the last row's signal: 0 stable, 1 warning, 2 drift.
+    """
     m = "(s.mean + (x - s.mean) / (s.n + 1))"
     up, down = f"(s.up + x - {m} - {delta}D)", f"(s.down + x - {m} + {delta}D)"
-    hit = f"({up} - least(s.low, {up}) > {threshold}D or greatest(s.high, {down}) - {down} > {threshold}D)"
+    most = f"greatest({up} - least(s.low, {up}), greatest(s.high, {down}) - {down})"
+    signal = f"if({most} > {threshold}D, 2, if({most} > {threshold / 2}D, 1, 0))"
+    hit = f"{most} > {threshold}D"
+    inf = "double('infinity')"
     step = (
-        f"named_struct('n', s.n + 1, 'mean', {m}, 'up', if({hit}, 0D, {up}), 'low', if({hit}, 0D, least(s.low, {up})),"
-        f" 'down', if({hit}, 0D, {down}), 'high', if({hit}, 0D, greatest(s.high, {down})), 'drifts', s.drifts + if({hit}, 1L, 0L))"
+        f"named_struct('n', s.n + 1, 'mean', {m}, 'up', if({hit}, 0D, {up}), 'low', if({hit}, {inf}, least(s.low, {up})),"
+        f" 'down', if({hit}, 0D, {down}), 'high', if({hit}, -{inf}, greatest(s.high, {down})), 'drifts', s.drifts + if({hit}, 1L, 0L),"
+        f" 'warnings', s.warnings + if({signal} = 1, 1L, 0L), 'state', {signal})"
     )
-    init = "named_struct('n', 0L, 'mean', 0D, 'up', 0D, 'low', 0D, 'down', 0D, 'high', 0D, 'drifts', 0L)"
-    return _fold(rows, key, order, x, init, step, ["n", "mean", "drifts"])
+    init = f"named_struct('n', 0L, 'mean', 0D, 'up', 0D, 'low', {inf}, 'down', 0D, 'high', -{inf}, 'drifts', 0L, 'warnings', 0L, 'state', 0)"
+    return _fold(rows, key, order, x, init, step, ["n", "mean", "drifts", "warnings", "state"])
 
 
 def ewma(rows: DataFrame, key: list[str], order: list[str], x: str, alpha: float) -> DataFrame:
@@ -35,8 +42,8 @@ def ewma(rows: DataFrame, key: list[str], order: list[str], x: str, alpha: float
 
 
 def quantile_track(rows: DataFrame, key: list[str], order: list[str], x: str, tau: float, rate: float) -> DataFrame:
-    """A quantile followed by steps of rate * (tau - [x below it])."""
-    return _fold(rows, key, order, x, "named_struct('n', 0L, 'q', 0D)", f"named_struct('n', s.n + 1, 'q', if(s.n = 0, x, s.q + {rate}D * if(x >= s.q, {tau}D, {tau - 1}D)))", ["n", "q"])
+    """A quantile followed from 0 by steps of rate * tau up where x lies above it, and rate * (1 - tau) down elsewhere."""
+    return _fold(rows, key, order, x, "named_struct('n', 0L, 'q', 0D)", f"named_struct('n', s.n + 1, 'q', if(x > s.q, s.q + {rate * tau}D, s.q - {rate * (1 - tau)}D))", ["n", "q"])
 
 
 def adaptive_conformal(rows: DataFrame, key: list[str], order: list[str], missed: str, alpha: float = 0.1, gamma: float = 0.01) -> DataFrame:
@@ -45,9 +52,47 @@ def adaptive_conformal(rows: DataFrame, key: list[str], order: list[str], missed
 
 
 def decompose(rows: DataFrame, key: list[str], order: list[str], x: str, period: int, alpha: float = 0.1, gamma: float = 0.1) -> DataFrame:
-    """Trend by exponential smoothing of the deseasonalised value, seasonal slots by smoothing of the detrended one, and the last residual."""
+    """Trend by exponential smoothing of the value, seasonal slots by smoothing of the detrended one, and the last residual."""
     slot = f"(cast(s.n % {period} as int))"
-    trend = f"if(s.n = 0, x, {alpha}D * (x - s.season[{slot}]) + {1 - alpha}D * s.trend)"
+    trend = f"if(s.n = 0, x, {alpha}D * x + {1 - alpha}D * s.trend)"
     season = f"transform(s.season, (v, i) -> if(i = {slot}, {gamma}D * (x - ({trend})) + {1 - gamma}D * v, v))"
     step = f"named_struct('n', s.n + 1, 'trend', {trend}, 'season', {season}, 'residual', x - ({trend}) - ({season})[{slot}])"
     return _fold(rows, key, order, x, f"named_struct('n', 0L, 'trend', 0D, 'season', array_repeat(0D, {period}), 'residual', 0D)", step, ["n", "trend", "residual"])
+
+
+def conformal_pid(rows: DataFrame, key: list[str], order: list[str], missed: str, alpha: float = 0.1, ki: float = 0.05, kp: float = 0.1, kd: float = 0.01) -> DataFrame:
+    """The radius that follows misses (1 or 0) by their running error, level and change: a += ki e + kp s + kd (s - s'), within 0.001 and 10.
+
+    e is alpha less the miss, s the sum of e so far.
+    """
+    e = f"({alpha}D - x)"
+    step = f"named_struct('n', s.n + 1, 'sum', s.sum + {e}, 'level', least(10D, greatest(0.001D, s.level + {ki}D * {e} + {kp}D * (s.sum + {e}) + {kd}D * {e})))"
+    return _fold(rows, key, order, missed, f"named_struct('n', 0L, 'sum', 0D, 'level', {alpha}D)", step, ["n", "level"])
+
+
+def reward(rows: DataFrame, key: list[str], order: list[str], x: str, alpha: float = 0.1) -> DataFrame:
+    """Rewards in [0, 1] from a metric that should be low: 1 - x / its exponential mean, 0.5 for the first; the last one and their sum."""
+    mean = f"if(s.n = 0, x, {alpha}D * x + {1 - alpha}D * s.mean)"
+    now = f"if(s.n = 0, 0.5D, if(abs({mean}) < 1e-15D, 0.5D, least(1D, greatest(0D, 1D - x / ({mean})))))"
+    step = f"named_struct('n', s.n + 1, 'mean', {mean}, 'reward', {now}, 'total', s.total + {now})"
+    return _fold(rows, key, order, x, "named_struct('n', 0L, 'mean', 0D, 'reward', 0D, 'total', 0D)", step, ["n", "reward", "total"])
+
+
+def holt_winters(rows: DataFrame, key: list[str], order: list[str], x: str, period: int, alpha: float = 0.3, beta: float = 0.1, gamma: float = 0.1) -> DataFrame:
+    """Level, trend and one-step forecast after the last row of additive triple smoothing (see `learners.HoltWinters`), in the JVM.
+
+    Keys of fewer rows than a period have no forecast.
+    """
+    seq = running(rows.where(F.col(x).isNotNull()).withColumn("_x", F.col(x).cast("double")), key, order, ["_x"])
+    i = f"cast(s.t % {period} as int)"
+    level = f"({alpha}D * (v - s.season[{i}]) + {1 - alpha}D * (s.level + s.trend))"
+    step = (
+        f"named_struct('t', s.t + 1, 'level', {level}, 'trend', {beta}D * ({level} - s.level) + {1 - beta}D * s.trend,"
+        f" 'season', transform(s.season, (u, j) -> if(j = {i}, {gamma}D * (v - {level}) + {1 - gamma}D * u, u)))"
+    )
+    mean = f"(aggregate(slice(v, 1, {period}), 0D, (a, b) -> a + b) / {period})"
+    start = f"named_struct('t', 0L, 'level', {mean}, 'trend', 0D, 'season', transform(slice(v, 1, {period}), u -> u - {mean}))"
+    # the first period starts level and seasons, and is then replayed
+    state = f"if(size(v) < {period}, null, aggregate(v, {start}, (s, v) -> {step}))"
+    out = seq.withColumn("v", F.expr("transform(rows, r -> r._x)")).withColumn("_s", F.expr(state))
+    return out.select(*key, F.size("v").alias("n"), F.col("_s.level").alias("level"), F.col("_s.trend").alias("trend"), F.expr(f"_s.level + _s.trend + _s.season[cast(_s.t % {period} as int)]").alias("forecast"))
