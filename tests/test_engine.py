@@ -116,7 +116,7 @@ def test_split_gain_of_known_sums():
     k = forest.slot[0, 0]
     forest.sums[k, 0, 0], forest.sums[k, 1, 0] = [-5, -5, 5, 5], [2, 2, 2, 2]
     forest.edges[k, 0], forest.ready[k], forest.n[0, 0] = [1.0, 2.0, 3.0], True, 1000
-    assert forest.split(0, 0, np.array([0]), 1.0, 0.0, 1e-7, 6)
+    assert forest.split(np.array([0]), np.array([0]), None, 1.0, 0.0, 1e-7, 6) == 1
     assert forest.gains[0, 0] == 20 and forest.threshold[0, 0] == 2.0 and forest.value[0, 1:].tolist()[:2] == [2.0, -2.0]
 
 

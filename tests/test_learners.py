@@ -112,6 +112,23 @@ def test_boosting_against_plain_trees(loss):
     assert sum(n[2] >= 0 for n in m.nodes(s)) >= 3 or loss in ("logistic",)
 
 
+@pytest.mark.parametrize("make", [
+    lambda: boosting.SGBT(3, steps=4, rate=0.3, depth=3, bins=8, grace=20, start=10, drift=(0.005, 8.0)), lambda: boosting.SGBT(3, steps=3, rate=0.3, grace=20, start=10, loss="logistic", shared=True, lifetime=60),
+    lambda: boosting.SGBT(3, steps=2, rate=0.3, grace=20, start=10, variant=("skip", 4)), lambda: learners.RLS(3, 0.98, adaptive=True), lambda: learners.RLS(3, 0.95),
+])
+def test_series_together_equal_series_alone(make):
+    """Also of different lengths, with drifts, replacements and restarts."""
+    rng = np.random.default_rng(9)
+    xs, ys = [], []
+    for n in (150, 3, 0, 200, 77):
+        x, y = data(n, seed=n)
+        y[n // 2 :] += 4
+        xs.append(x)
+        ys.append((y > 1).astype(float) if n % 2 == 0 else y + rng.normal(size=n))
+    for got, x, y in zip(make().fold_many(xs, ys), xs, ys, strict=True):
+        np.testing.assert_allclose(got, run(make(), x, y)[0], atol=1e-7)
+
+
 def test_boosting_replaces_trees_at_a_drift():
     x, y = data(2000)
     y[1000:] = 40 - 5 * x[1000:, 2]

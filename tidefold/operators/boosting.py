@@ -14,13 +14,13 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
-def gradients(loss: str, y: float, p: np.ndarray, tau: float = 0.5, delta: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def gradients(loss: str, y: float | np.ndarray, p: np.ndarray, tau: float = 0.5, delta: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and hessian of a loss by running predictions p."""
     if loss == "squared":
         return p - y, np.ones_like(p)
     if loss in ("logistic", "softmax"):
         s = 1 / (1 + np.exp(-np.clip(p, -500, 500)))
-        return s - (float(y == 1) if loss == "softmax" else y), np.maximum(s * (1 - s), 1e-16)
+        return s - (np.equal(y, 1).astype(float) if loss == "softmax" else y), np.maximum(s * (1 - s), 1e-16)
     if loss == "huber":
         return np.clip(p - y, -delta, delta), np.where(np.abs(p - y) <= delta, 1.0, 1e-6)
     if loss == "quantile":
@@ -97,14 +97,16 @@ class Forest:
         self._node(t, 0, 0.0)
 
     def route(self, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """The leaf of x in each of the trees."""
+        """The leaf of x in each of the trees; x is one row, or one a tree."""
         node = np.zeros(len(rows), np.int64)
+        each = None if x.ndim == 1 else np.arange(len(rows))
         while True:
             f = self.feature[rows, node]
             inner = f >= 0
             if not inner.any():
                 return node
-            node = np.where(inner, self.child[rows, node] + (x[f] > self.threshold[rows, node]), node)
+            v = x[f] if each is None else x[each, f]
+            node = np.where(inner, self.child[rows, node] + (v > self.threshold[rows, node]), node)
 
     def learn(self, rows: np.ndarray, leaf: np.ndarray, x: np.ndarray, g: np.ndarray, h: np.ndarray, reg: float, grace: int) -> np.ndarray:
         """Adds gradients at the leaves; which trees are due for a split test."""
@@ -117,14 +119,14 @@ class Forest:
         n, slot = self.n[at], self.slot[at]
         ready = self.ready[slot]
         if not ready.all():
-            k = slot[~ready]
-            self.low[k], self.high[k] = np.minimum(self.low[k], x), np.maximum(self.high[k], x)
+            k, v = slot[~ready], x if x.ndim == 1 else x[~ready]
+            self.low[k], self.high[k] = np.minimum(self.low[k], v), np.maximum(self.high[k], v)
             for k in slot[~ready & (n >= grace)]:
                 self._cut(k)
         own = self.ready[slot]
         if own.any():
             k = slot[own]
-            b = (self.edges[k] <= x[:, None]).sum(axis=2)
+            b = (self.edges[k] <= (x[:, None] if x.ndim == 1 else x[own][:, :, None])).sum(axis=2)
             cell = np.arange(self.dim)
             self.sums[k[:, None], 0, cell, b] += g[own][:, None]
             self.sums[k[:, None], 1, cell, b] += h[own][:, None]
@@ -139,38 +141,46 @@ class Forest:
         edges[flat, 0] = lo[flat]
         self.edges[k], self.ready[k] = edges, True
 
-    def split(self, t: int, leaf: int, features: np.ndarray, reg: float, gamma: float, delta: float, depth: int, least: float = 1.0, tie: float = 0.05) -> bool:
-        """Splits a leaf by the greatest gain if its lead over the next feature passes the Hoeffding bound, or the bound is under `tie`."""
-        if self.depth[t, leaf] >= depth:
-            return False
-        k = self.slot[t, leaf]
-        left = np.cumsum(self.sums[k][:, features], axis=2)
-        total, left = left[:, :, -1:], left[:, :, :-1]
+    def split(self, trees: np.ndarray, leaves: np.ndarray, seen: np.ndarray | None, reg: float, gamma: float, delta: float, depth: int, least: float = 1.0, tie: float = 0.05) -> int:
+        """Splits each leaf by the greatest gain if its lead over the next feature passes the Hoeffding bound, or the bound is under `tie`.
+
+        seen: which features each test may use (None: all).
+        """
+        low = self.depth[trees, leaves] < depth
+        if not low.all():
+            trees, leaves, seen = trees[low], leaves[low], None if seen is None else seen[low]
+        if not len(trees):
+            return 0
+        left = np.cumsum(self.sums[self.slot[trees, leaves]], axis=3)
+        total, left = left[..., -1:], left[..., :-1]
         right = total - left
-        gain = 0.5 * (left[0] ** 2 / (left[1] + reg) + right[0] ** 2 / (right[1] + reg) - total[0] ** 2 / (total[1] + reg)) - gamma
-        gain = np.where((left[1] >= least) & (right[1] >= least), gain, -np.inf)
-        cut = gain.argmax(axis=1)
-        best = gain[np.arange(len(features)), cut]
-        order = np.argsort(-best, kind="stable")
-        if best[order[0]] <= 0:
-            return False
-        second = best[order[1]] if len(order) > 1 and best[order[1]] > 0 else 0.0
-        bound = math.sqrt(math.log(1 / delta) / (2 * int(self.n[t, leaf])))
-        if best[order[0]] - second <= bound and bound >= tie:
-            return False
-        i = order[0]
-        f, c = int(features[i]), int(cut[i])
-        self.gains[t, f] += best[i]
-        edges, child_depth = self.edges[k].copy(), int(self.depth[t, leaf]) + 1
-        a, b = left[:, i, c], right[:, i, c]
-        first = self._node(t, child_depth, -a[0] / (a[1] + reg))
-        self._node(t, child_depth, -b[0] / (b[1] + reg))
-        for j in (first, first + 1):
-            s = self.slot[t, j]
-            self.edges[s], self.ready[s] = edges, True
-        self.feature[t, leaf], self.threshold[t, leaf], self.child[t, leaf] = f, edges[f, c], first
-        self.free.append(int(k))
-        return True
+        gain = 0.5 * (left[:, 0] ** 2 / (left[:, 1] + reg) + right[:, 0] ** 2 / (right[:, 1] + reg) - total[:, 0] ** 2 / (total[:, 1] + reg)) - gamma
+        gain = np.where((left[:, 1] >= least) & (right[:, 1] >= least), gain, -np.inf)
+        if seen is not None:
+            gain[~seen] = -np.inf
+        cut = gain.argmax(axis=2)
+        best = np.take_along_axis(gain, cut[:, :, None], axis=2)[:, :, 0]
+        feature = best.argmax(axis=1)
+        each = np.arange(len(trees))
+        top = best[each, feature]
+        best[each, feature] = -np.inf
+        lead = top - np.maximum(best.max(axis=1), 0.0)
+        bound = np.sqrt(math.log(1 / delta) / (2 * self.n[trees, leaves]))
+        done = np.flatnonzero((top > 0) & ((lead > bound) | (bound < tie)))
+        for i in done:
+            t, leaf, f, c = int(trees[i]), int(leaves[i]), int(feature[i]), int(cut[i, feature[i]])
+            k = int(self.slot[t, leaf])
+            self.gains[t, f] += top[i]
+            edges, child_depth = self.edges[k].copy(), int(self.depth[t, leaf]) + 1
+            a, b = left[i, :, f, c], right[i, :, f, c]
+            first = self._node(t, child_depth, -a[0] / (a[1] + reg))
+            self._node(t, child_depth, -b[0] / (b[1] + reg))
+            for j in (first, first + 1):
+                s = self.slot[t, j]
+                self.edges[s], self.ready[s] = edges, True
+            self.feature[t, leaf], self.threshold[t, leaf], self.child[t, leaf] = f, edges[f, c], first
+            self.free.append(k)
+        return len(done)
 
 
 class Shifts:
@@ -183,17 +193,19 @@ class Shifts:
         self.low, self.low2 = np.full(n, np.inf), np.full(n, np.inf)
 
     def update(self, v: np.ndarray) -> np.ndarray:
-        """0 stable, 1 warning, 2 drift (the sums restart, mean and count go on)."""
-        self.count += 1
-        self.mean += (v - self.mean) / self.count
-        self.up += v - self.mean - self.delta
-        self.down += self.mean - self.delta - v
-        self.low, self.low2 = np.minimum(self.low, self.up), np.minimum(self.low2, self.down)
-        most = np.maximum(self.up - self.low, self.down - self.low2)
+        """0 stable, 1 warning, 2 drift (the sums restart, mean and count go on); v has values for the first series."""
+        count, mean, up, down, low, low2 = (a[: len(v)] for a in (self.count, self.mean, self.up, self.down, self.low, self.low2))
+        count += 1
+        mean += (v - mean) / count
+        up += v - mean - self.delta
+        down += mean - self.delta - v
+        np.minimum(low, up, out=low)
+        np.minimum(low2, down, out=low2)
+        most = np.maximum(up - low, down - low2)
         drift = most > self.threshold
         if drift.any():
-            self.up[drift] = self.down[drift] = 0
-            self.low[drift] = self.low2[drift] = np.inf
+            up[drift] = down[drift] = 0
+            low[drift] = low2[drift] = np.inf
         return np.where(drift, 2, (most > self.threshold / 2).astype(int))
 
     def fresh(self, i: int) -> None:
@@ -289,10 +301,9 @@ class SGBT:
         f = s["forest"]
         more = own[growing[own]]
         gs, hs = np.concatenate([g[own], g[more]]), np.concatenate([h[own], h[more]])
-        for i in f.learn(rows, leaf, x, gs, hs, self.reg, self.grace):
-            k = max(1, math.ceil(self.subsample * self.dim))
-            features = np.arange(self.dim) if k >= self.dim else np.sort(s["rng"].choice(self.dim, k, replace=False))
-            f.split(int(rows[i]), int(leaf[i]), features, self.reg, self.gamma, self.delta, self.depth)
+        due = f.learn(rows, leaf, x, gs, hs, self.reg, self.grace)
+        if len(due):
+            f.split(rows[due], leaf[due], self._seen([s["rng"]] * len(due)), self.reg, self.gamma, self.delta, self.depth)
         tests = s["tests"]
         if len(own) == self.steps:
             signal = tests.update(np.abs(g))
@@ -312,6 +323,71 @@ class SGBT:
             tests.fresh(t)
             s["replaced"] += 1
 
+    def _seen(self, rngs: list) -> np.ndarray | None:
+        """The features of each split test, a random share of them."""
+        k = max(1, math.ceil(self.subsample * self.dim))
+        if k >= self.dim:
+            return None
+        out = np.zeros((len(rngs), self.dim), bool)
+        for i, rng in enumerate(rngs):
+            out[i, rng.choice(self.dim, k, replace=False)] = True
+        return out
+
+    def fold_many(self, xs: list[np.ndarray], ys: list[np.ndarray]) -> list[np.ndarray]:
+        """The predictions of a model per series, each as `step` gives them one by one; the series advance together, a row of each at a time."""
+        if self.variant[0] != "standard" or self.weight is not None or self.clip is not None:
+            return [self._alone(x, y) for x, y in zip(xs, ys, strict=True)]
+        order = sorted(range(len(xs)), key=lambda i: -len(ys[i]))
+        size, steps = np.array([len(ys[i]) for i in order]), self.steps
+        keys, most = len(order), int(size[0]) if len(order) else 0
+        x, y, out = np.zeros((keys, most, self.dim)), np.zeros((keys, most)), np.zeros((keys, most))
+        for k, i in enumerate(order):
+            x[k, : size[k]], y[k, : size[k]] = xs[i], ys[i]
+        f, tests = Forest(2 * keys * steps, self.dim, self.bins), Shifts(keys * steps, *self.drift)
+        active, spare = np.split(np.arange(2 * keys * steps), 2)
+        growing, since, base = np.zeros(keys * steps, bool), np.zeros(keys * steps, np.int64), np.zeros(keys)
+        rngs = [np.random.default_rng(self.seed) for _ in order]
+        for t in range(most):
+            n = int(np.searchsorted(-size, -t, "left"))  # series longer than t
+            if t + 1 == self.start:
+                base[:n] = [first_prediction(self.loss, y[k, : t + 1].tolist(), self.tau) for k in range(n)]
+            own = n * steps
+            now = x[:n, t]
+            more = np.flatnonzero(growing[:own])
+            rows, of = np.concatenate([active[:own], spare[more]]), np.concatenate([np.repeat(np.arange(n), steps), more // steps])
+            own_x = now[of]
+            leaf = f.route(rows, own_x)
+            part = self.rate * f.value[rows[:own], leaf[:own]].reshape(n, steps)
+            upto = np.cumsum(part, axis=1)
+            raw = base[:n] + upto[:, -1]
+            out[:n, t] = raw
+            run = np.repeat(raw[:, None], steps, axis=1) if self.shared else base[:n, None] + np.concatenate([np.zeros((n, 1)), upto[:, :-1]], axis=1)
+            g, h = (a.ravel() for a in gradients(self.loss, y[:n, t][:, None], run, self.tau, self.huber))
+            due = f.learn(rows, leaf, own_x, np.concatenate([g, g[more]]), np.concatenate([h, h[more]]), self.reg, self.grace)
+            if len(due):
+                f.split(rows[due], leaf[due], self._seen([rngs[k] for k in of[due]]), self.reg, self.gamma, self.delta, self.depth)
+            signal = tests.update(np.abs(g))
+            late = f.seen[active[:own]] - since[:own] >= self.lifetime if self.lifetime else np.zeros(own, bool)
+            growing[:own] |= signal == 1
+            for i in np.flatnonzero((signal == 2) | late):
+                old = active[i]
+                f.reset(old)
+                if growing[i]:
+                    active[i], spare[i], growing[i] = spare[i], old, False
+                since[i] = f.seen[active[i]]
+                tests.fresh(i)
+        found = [np.empty(0)] * keys
+        for k, i in enumerate(order):
+            v = out[k, : size[k]]
+            found[i] = 1 / (1 + np.exp(-np.clip(v, -500, 500))) if self.loss in ("logistic", "softmax") else v
+        return found
+
+    def _alone(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        s, out = self.new(), np.empty(len(y))
+        for i, (a, b) in enumerate(zip(x, y, strict=True)):
+            out[i], s = self.step(s, a, b)
+        return out
+
     @staticmethod
     def _some(tests: Shifts, v: np.ndarray, own: np.ndarray) -> np.ndarray:
         names = ("count", "mean", "up", "down", "low", "low2")

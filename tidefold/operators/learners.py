@@ -64,6 +64,38 @@ class RLS:
             return p, self.new()
         return p, (w, c, mse, usual)
 
+    def fold_many(self, xs, ys):
+        """The predictions of a model per series, as `step` gives them; the series advance together, a row of each at a time."""
+        order = sorted(range(len(xs)), key=lambda i: -len(ys[i]))
+        size = np.array([len(ys[i]) for i in order])
+        n, most, d = len(order), int(size[0]) if len(order) else 0, self.dim
+        x, y, out = np.zeros((n, most, d)), np.zeros((n, most)), np.zeros((n, most))
+        for k, i in enumerate(order):
+            x[k, : size[k]], y[k, : size[k]] = xs[i], ys[i]
+        w, c, usual = np.zeros((n, d)), np.tile(np.eye(d) * self.start, (n, 1, 1)), np.zeros(n)
+        for t in range(most):
+            m = int(np.searchsorted(-size, -t, "left"))
+            a, v = x[:m, t], w[:m]
+            p = np.einsum("kd,kd->k", v, a)
+            out[:m, t] = p
+            err, keep = y[:m, t] - p, np.full(m, self.forgetting)
+            if self.adaptive:
+                usual[:m] = 0.99 * usual[:m] + 0.01 * np.abs(err)
+                ratio = np.where(usual[:m] > 1e-15, np.clip(np.abs(err) / np.maximum(usual[:m], 1e-300), 0.1, 10.0), 1.0)
+                keep = np.clip(keep * np.clip(1 - 0.001 * (ratio - 1), 0.99, 1.001), 0.95, 1.0)
+            u = np.einsum("kij,kj->ki", c[:m], a)
+            g = u / np.maximum(keep + np.einsum("kd,kd->k", a, u), 1e-8)[:, None]
+            w[:m] = v + g * err[:, None]
+            c[:m] = (c[:m] - g[:, :, None] * u[:, None, :]) / keep[:, None, None]
+            diagonal = np.einsum("kii->ki", c[:m])
+            bad = ~(np.isfinite(diagonal).all(axis=1) & np.isfinite(w[:m]).all(axis=1)) | (diagonal.min(axis=1) < 0) | (diagonal.max(axis=1) > 1e10)
+            if bad.any():
+                w[:m][bad], c[:m][bad], usual[:m][bad] = 0.0, np.eye(d) * self.start, 0.0
+        found = [np.empty(0)] * n
+        for k, i in enumerate(order):
+            found[i] = out[k, : size[k]]
+        return found
+
     def interval(self, s, x, z=1.96):
         w, c, mse, _ = s
         p, sd = float(w @ x), math.sqrt(mse * (1 + float(x @ c @ x)))

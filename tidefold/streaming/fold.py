@@ -28,8 +28,54 @@ def _schema(df: DataFrame, key: list[str], order: list[str]) -> T.StructType:
     return T.StructType([*[df.schema[c] for c in [*key, *order]], T.StructField("target", T.DoubleType()), T.StructField("prediction", T.DoubleType())])
 
 
+#: Series that a task folds together, where a learner can.
+TOGETHER = 256
+
+
+def _run_many(df: DataFrame, learner, key: list[str], order: list[str], x: str, y: str) -> DataFrame:
+    """run_batch for learners with fold_many(xs, ys): keys are dealt and sorted by Spark, and a task folds TOGETHER of them at once."""
+
+    def done(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(frames, ignore_index=True)
+        cuts = [0, *_starts(pdf[key])[1:], len(pdf)]
+        rows = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        xs = [np.array(pdf[x].iloc[r].tolist(), float) for r in rows]
+        ys = [pdf[y].iloc[r].to_numpy(float) for r in rows]
+        return pdf[[*key, *order]].assign(target=pdf[y].astype(float), prediction=np.concatenate(learner.fold_many(xs, ys)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            every = pd.concat(held, ignore_index=True)
+            starts = _starts(every[key])
+            if len(starts) > TOGETHER:  # the last key may go on in the next batch
+                yield done([every.iloc[: starts[-1]]])
+                every = every.iloc[starts[-1] :]
+            held = [every]
+        if held:
+            yield done(held)
+
+    rows = df.select(*key, *order, x, y).repartition(*key).sortWithinPartitions(*key, *order)
+    return rows.mapInPandas(run, _schema(df, key, order))
+
+
+def _starts(keys: pd.DataFrame) -> list[int]:
+    """Where a new key begins; nulls are equal."""
+    new = np.zeros(len(keys), bool)
+    new[0] = True
+    for c in keys.columns:
+        a, b = keys[c].to_numpy()[1:], keys[c].to_numpy()[:-1]
+        new[1:] |= ~((a == b) | (pd.isna(a) & pd.isna(b)))
+    return np.flatnonzero(new).tolist()
+
+
 def run_batch(df: DataFrame, learner, key: list[str], order: list[str], x: str, y: str) -> DataFrame:
     """(key, order, target, prediction) of every row."""
+    if hasattr(learner, "fold_many"):
+        return _run_many(df, learner, key, order, x, y)
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
