@@ -3,7 +3,6 @@ broadcasts, connected components, and a vectorised tokeniser over Arrow buffers.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a two-long table that may be broadcast (about 16 MB); larger tables are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a table of strings or arrays that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of text handled at once by the numpy kernels, unless a single text is longer.
 SLICE_BYTES = 1 << 20
 #: Links that a single task may still join up.
@@ -25,14 +26,11 @@ class Scratch:
     """Tables written to the folder in ``spark.checkpoint.dir`` and read back.
 
     A written table cuts the lineage and survives the loss of any executor.
-    Where the setting is absent (tests, local mode) a temporary folder is used.
+    Where the setting is absent the tables go to the warehouse, which is shared too; a machine's own folder is never used on a cluster.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="tidefold-")
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidefold-scratch"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -63,6 +61,12 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def light(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df, a written table or a short plan, for broadcast if its rows, written out, are within the bound in bytes; for strings and arrays."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= most else df
+
+
 def private(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of df has it."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -25,31 +25,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, light, private
 from .urls import LOWER, UPPER
 
 WORD, WINDOW = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", 10
-#: Candidate documents whose alignments may be broadcast.
-DOCS_BROADCAST = 200_000
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def _postings(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return rows.join(small(terms, n, 200_000), "term")
+def folded(text: Column) -> Column:
+    """The words for the index: all letters lower-cased, which is faster and only joins more terms; it moves no word, and what is found is compared exactly."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def _postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(folded(F.col("text"))).alias("pos", "term"))
+    return rows.join(light(terms), "term")
 
 
 def alignments(docs: DataFrame, items: DataFrame, scratch: Scratch, slop: int = 0) -> DataFrame:
     """(doc_id, h, item, delta): places where two chosen terms of items(item, words) agree, to within slop; h tells texts apart."""
-    at = scratch.save(items.select("item", F.size("words").alias("len"), F.posexplode("words").alias("ipos", "term")))
+    at = scratch.save(items.select("item", F.size("words").alias("len"), F.posexplode(F.transform("words", F.lower)).alias("ipos", "term")))
     terms = scratch.save(at.select("term").distinct())
-    freq = scratch.save(_postings(docs, terms, terms.count()).groupBy("term").agg(F.count("*").alias("cf")))
+    freq = scratch.save(_postings(docs, terms).groupBy("term").agg(F.count("*").alias("cf")))
     width = F.least(F.col("len"), F.lit(WINDOW))
     low, high = F.greatest(F.lit(0), F.col("ipos") - width + 1), F.least(F.col("ipos"), F.col("len") - width)
-    inside = at.join(small(freq, freq.count(), 200_000), "term", "left").withColumn("start", F.explode(F.sequence(low, high)))
+    inside = at.join(light(freq), "term", "left").withColumn("start", F.explode(F.sequence(low, high)))
     window = Window.partitionBy("item", "start")
     ranked = inside.withColumns({
         "absent": F.count(F.when(F.col("cf").isNull(), 1)).over(window),
@@ -58,10 +61,10 @@ def alignments(docs: DataFrame, items: DataFrame, scratch: Scratch, slop: int =
     })
     chosen = scratch.save(ranked.where("absent <= most and turn <= most + 2").select("item", "len", "ipos", "term").distinct())
     lists = scratch.save(chosen.select("term").distinct())
-    index = scratch.save(_postings(docs, lists, lists.count()))
+    index = scratch.save(_postings(docs, lists))
     # chosen positions of a term as one row, so that a posting is expanded after it was shuffled, by document
     own = chosen.groupBy("term").agg(F.collect_list(F.struct("item", "len", "ipos")).alias("at"))
-    found = index.join(small(own, lists.count(), 50_000), "term").select("doc_id", "h", "pos", F.explode("at").alias("at"))
+    found = index.join(light(scratch.save(own)), "term").select("doc_id", "h", "pos", F.explode("at").alias("at"))
     found = found.select("doc_id", "h", "at.item", "at.len", (F.col("pos") - F.col("at.ipos")).alias("delta"), "at.ipos")
     if slop:
         # two that agree have, in order of delta, neighbours of different terms among and between them
@@ -79,17 +82,18 @@ def changes(slop: int, words: str) -> str:
 
 
 def _found(docs: DataFrame, items: DataFrame, scratch: Scratch, slop: int = 0) -> DataFrame:
-    """(doc_id, h, words, at): the words of each text with alignments, and these as an array of (item_id, delta, own words)."""
+    """(doc_id, h, words, at): the words of each text with alignments, and these as an array of (item_id, deltas, own words)."""
     items = items.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0").distinct()
     items = scratch.save(items.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"]))
     found = alignments(docs, items, scratch, slop)
-    n = items.count()
-    by = found.join(small(items, n, 50_000), "item").groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "delta", F.col("words").alias("own"))).alias("at"))
+    # an item's words stand once in a text's row, whatever the number of its alignments
+    by = found.groupBy("doc_id", "h", "item").agg(F.collect_list("delta").alias("deltas")).join(light(items), "item")
+    by = by.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "deltas", F.col("words").alias("own"))).alias("at"))
     by = scratch.save(by)
     ids = by.select(F.col("doc_id").alias("id2"), F.col("h").alias("h2"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     same = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))
-    texts = texts.join(small(ids, by.count(), DOCS_BROADCAST), same, "left_semi")
+    texts = texts.join(light(ids), same, "left_semi")
     texts = scratch.save(texts.select("doc_id", "h", words_of(F.col("text")).alias("words")).dropDuplicates(["doc_id", "h"]))
     return texts.join(by.withColumnsRenamed({"doc_id": "id2", "h": "h2"}), same).drop("id2", "h2")
 
@@ -98,16 +102,18 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, h, hits): for each text with any, an array of (item_id, at, width) of the windows that occur at word `at`."""
     scratch = Scratch(docs.sparkSession, "index")
     width = f"least({WINDOW}, size(c.own))"
-    match = f"slice(words, s + c.delta + 1, {width}) = slice(c.own, s + 1, {width})"
-    span = f"if(least(size(c.own), size(words) - c.delta) - {width} >= greatest(0, -c.delta), sequence(greatest(0, -c.delta), least(size(c.own), size(words) - c.delta) - {width}), array())"
-    hits = f"flatten(transform(at, c -> transform(filter({span}, s -> {match}), s -> struct(c.item_id as item_id, s + c.delta as at, {width} as width))))"
+    match = f"slice(words, s + d + 1, {width}) = slice(c.own, s + 1, {width})"
+    last = f"least(size(c.own), size(words) - d) - {width}"
+    span = f"if({last} >= greatest(0, -d), sequence(greatest(0, -d), {last}), array())"
+    one = f"transform(filter({span}, s -> {match}), s -> struct(c.item_id as item_id, s + d as at, {width} as width))"
+    hits = f"flatten(transform(at, c -> flatten(transform(c.deltas, d -> {one}))))"
     return scratch.save(_found(docs, items, scratch).select("doc_id", "h", F.expr(hits).alias("hits")).where("size(hits) > 0"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
     """(doc_id, h, item_id, start, changed): the windows, by their first word in the item, with a proximity match in a text, and the fewest words changed."""
     scratch = Scratch(docs.sparkSession, "near")
-    rows = _found(docs, items, scratch, slop).select("doc_id", "h", "words", F.explode("at").alias("c")).select("doc_id", "h", "words", "c.*")
+    rows = _found(docs, items, scratch, slop).select("doc_id", "h", "words", F.explode("at").alias("c")).select("doc_id", "h", "words", "c.item_id", "c.own", F.explode("c.deltas").alias("delta"))
     rows = rows.withColumn("width", F.expr(f"least({WINDOW}, size(own))")).withColumn("start", F.explode(F.expr("sequence(0, size(own) - width)")))
     # an agreeing pair's delta is off by at most slop, and so is the occurrence's first word
     begin = f"greatest(0, delta + start - {2 * slop})"
@@ -128,9 +134,10 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.expr("array_sort(array_distinct(filter(transform(hits, x -> cast(x.item_id as string)), x -> x is not null)))").alias("ids"),
     )
     hits = Scratch(docs.sparkSession, "hits").save(hits)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    n_words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60")), F.lit(0)))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), n_words.cast("long").alias("n_words"))
     same = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))
-    out = rows.join(small(hits, hits.count(), DOCS_BROADCAST), same, "left")
+    out = rows.join(light(hits), same, "left")
     ids = F.coalesce("ids", F.expr("cast(array() as array<string>)"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
@@ -140,7 +147,8 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows in whose text a window of items occurs."""
-    hits = occurrences(docs, items).select(F.col("doc_id").alias("_id2"), F.col("h").alias("_h2"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id2")) & (F.xxhash64("text") == F.col("_h2"))
-    return docs.join(small(hits, hits.count(), DOCS_BROADCAST), same, "left_anti")
+    """docs without the rows in whose text a window of items occurs; columns of any names pass through."""
+    id2, h2 = private(docs, "id2", "h2")
+    hits = occurrences(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias(id2), F.col("h").alias(h2))
+    same = F.col("doc_id").eqNullSafe(F.col(id2)) & (F.xxhash64("text") == F.col(h2))
+    return docs.join(light(hits), same, "left_anti")
