@@ -14,11 +14,12 @@ c = t / (|q| * m) chooses the pruning: below COSINE only by length (a prefix of
 |p| >= t / |q|); above, by coordinates: a unit vector within cosine c of q/|q| lies, in each coordinate,
 between q*c - s and q*c + s with s = sqrt((1 - q^2)(1 - c^2)), so sorted lists of the query's FOCUS largest coordinates
 give the candidates. Bounds are widened for rounding, and the products that remain are
-computed as exact integers. Each batch returns its k best rows a query; the last merge is by
+computed as exact integers. Each task keeps its k best rows a query over all its batches and returns them once; the last merge is by
 query in two levels. A first pass over the longest vectors gives every query a starting threshold.
 
 Defined cases: fewer than k candidates: all of them; repeated vec_ids are separate candidates with
-equal ids (a query's own id is never its candidate; a repeated query row counts once); empty tables give no rows.
+equal ids (a query's own id is never its candidate; of a repeated query id the least vector asks); components beyond a long's range are
+held at it, and so are scores; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 BUCKET, QUERY_BLOCK, COSINE, FOCUS, SEEDS = 1024, 4096, 0.5, 3, 1024
+#: Bytes of candidates that a task searches at once.
+TASK_BYTES = 32 << 20
 SCALE = 1024
 
 
@@ -52,7 +55,8 @@ def _exact(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Integer inner products; beyond what doubles hold exactly, by Python's integers."""
     if len(q) * max(1.0, np.abs(p).max(initial=0)) * max(1.0, np.abs(q).max(initial=0)) < 2.0**53:
         return (p @ q).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in p], dtype=object)
+    sums = (sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in p)
+    return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in sums], np.int64)
 
 
 class _Best:
@@ -67,15 +71,14 @@ class _Best:
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         keep = scores >= self.threshold()
         s, i = np.concatenate([self.scores, scores[keep]]), np.concatenate([self.ids, ids[keep]])
-        order = np.lexsort((i, -s))[: self.k] if s.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[: self.k], int)
+        order = np.lexsort((i, ~s))[: self.k]  # ~s falls as s rises, also at the least long
         self.scores, self.ids = s[order], i[order]
 
 
-def search(ids: np.ndarray, p: np.ndarray, norms: np.ndarray, queries: list[tuple[int, np.ndarray, float, float]], k: int) -> list[tuple[int, int, int]]:
-    """(query, id, score) of the k best of p for each (query id, vector, length, starting threshold)."""
+def search(ids: np.ndarray, p: np.ndarray, norms: np.ndarray, queries: list[tuple[int, np.ndarray, float, float]], best: list[_Best]) -> None:
+    """Adds what of p is among the k best of each (query id, vector, length, starting threshold)."""
     order = np.argsort(-norms, kind="stable")
     ids, p, norms = ids[order], p[order], norms[order]
-    best = [_Best(k, floor) for *_, floor in queries]
     for at in range(0, len(ids), BUCKET):
         b, n, own = p[at : at + BUCKET], norms[at : at + BUCKET], ids[at : at + BUCKET]
         top, lists = float(n[0]), {}
@@ -103,26 +106,56 @@ def search(ids: np.ndarray, p: np.ndarray, norms: np.ndarray, queries: list[tupl
             rows = rows[own[rows] != qid]
             if len(rows):
                 hold.add(_exact(b[rows], q), own[rows])
-    return [(q[0], int(i), int(s)) for q, h in zip(queries, best, strict=True) for s, i in zip(h.scores, h.ids, strict=True)]
 
 
 def _searched(batches: Iterator[pa.RecordBatch], blocks, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's candidates for each query, held over all its batches and given once."""
     by_size: dict[int, list] = {}
     for q in blocks.value:
         by_size.setdefault(len(q[1]), []).append(q)
-    for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        lists = batch.column("v")
+    best = {d: [_Best(k, floor) for *_, floor in own] for d, own in by_size.items()}
+    held: list[pa.RecordBatch] = []
+
+    def done() -> None:
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        lists = table.column("v").combine_chunks()
         size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-        flat, ids, norms = lists.flatten().to_numpy(), batch.column("vec_id").to_numpy(), batch.column("norm").to_numpy()
+        flat, ids, norms = lists.flatten().to_numpy(), table.column("vec_id").to_numpy(), table.column("norm").to_numpy()
         at = np.concatenate([[0], np.cumsum(size)])
         for d, own in by_size.items():
             rows = np.flatnonzero(size == d)
             if len(rows):
-                p = flat[at[rows][:, None] + np.arange(d)]
-                out += search(ids[rows], p, norms[rows], own, k)
-        a = np.array(out, np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(a[:, i]) for i in range(3)], ["query_id", "vec_id", "score"])
+                search(ids[rows], flat[at[rows][:, None] + np.arange(d)], norms[rows], own, best[d])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= TASK_BYTES:
+                done()
+    if held:
+        done()
+    out = [(q[0], i, s) for d, own in by_size.items() for q, h in zip(own, best[d], strict=True) for s, i in zip(h.scores.tolist(), h.ids.tolist(), strict=True)]
+    a = np.array(out, np.int64).reshape(-1, 3)
+    yield pa.RecordBatch.from_arrays([pa.array(a[:, i]) for i in range(3)], ["query_id", "vec_id", "score"])
+
+
+def _floors(block: list, longest: list, k: int) -> list[float]:
+    """A lower bound of each query's k-th best score from the longest vectors, by one product a dimension."""
+    out = [-np.inf] * len(block)
+    for d in {len(r.v) for r in block}:
+        own = [i for i, r in enumerate(block) if len(r.v) == d]
+        seeds = [(r.vec_id, r.v) for r in longest if len(r.v) == d]
+        if len(seeds) <= k:
+            continue
+        p, ids = np.array([v for _, v in seeds]), np.array([i for i, _ in seeds])
+        q = np.array([block[i].v for i in own])
+        scores = np.where(np.array([block[i].vec_id for i in own])[:, None] == ids, -np.inf, q @ p.T)
+        kth = np.partition(scores, -k, axis=1)[:, -k]
+        size = np.linalg.norm(q, axis=1) * np.linalg.norm(p, axis=1).max()
+        for i, t, m in zip(own, kth, size, strict=True):
+            out[i] = float(t - 1e-9 * m - 1) if np.isfinite(t) and np.isfinite(m) else -np.inf
+    return out
 
 
 def _merge(found: DataFrame, k: int, by: list) -> DataFrame:
@@ -135,18 +168,15 @@ def top_k(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
     spark = rows.sparkSession
     scratch = Scratch(spark, "topk")
     vectors = scratch.save(integer_vectors(rows))
-    asked = vectors.where(is_query).dropDuplicates(["vec_id"])
+    asked = vectors.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("q")).select("vec_id", "q.v", "q.norm")
     width = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = scratch.save(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(width * 2))))
-    longest = [(r.vec_id, np.array(r.v), r.norm) for r in vectors.orderBy(F.col("norm").desc(), "vec_id").limit(SEEDS).collect()]
+    asked = scratch.save(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(width))))
+    longest = vectors.orderBy(F.col("norm").desc(), "vec_id").limit(SEEDS).collect()
     dealt = scratch.save(vectors.repartitionByRange(max(1, spark.sparkContext.defaultParallelism * 2), F.col("norm").desc(), "vec_id"))
     found = None
-    for part in range(width * 2):
-        block = []
-        for r in asked.where(F.col("part") == part).collect():
-            q = np.array(r.v)
-            scores = sorted((float(_exact(p[None], q)[0]) for i, p, _ in longest if len(p) == len(q) and i != r.vec_id), reverse=True)
-            block.append((r.vec_id, q, float(r.norm), scores[k - 1] if len(scores) >= k else -np.inf))
+    for part in range(width):
+        rows_ = asked.where(F.col("part") == part).collect()
+        block = [(r.vec_id, np.array(r.v), float(r.norm), t) for r, t in zip(rows_, _floors(rows_, longest, k), strict=True)]
         if not block:
             continue
         sent = spark.sparkContext.broadcast(block)
