@@ -195,6 +195,12 @@ def near_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
             once = f" and {100 + PERCENT} * {most} >= {PERCENT} * (p.n + m.n)"
         active = scratch.save(active)
         last = active.agg(F.max("rank")).first()[0]
+    # rows of one doc_id are one document: its classes are linked, as a star
+    stars = classed.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+    stars = scratch.save(stars.where("a <> b").select("doc_id", "a"))
+    if n := stars.count():
+        own = classed.where("rep is not null").join(small(stars, n), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+        comp = merge_components(comp, own, scratch)
     if comp is None:
         comp = docs.sparkSession.createDataFrame([], "node long, comp long")
     return classed, comp
