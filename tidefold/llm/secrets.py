@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,10 +35,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
-WINDOW = 20
+#: Characters of a window and of the shortest candidate.
+WINDOW = 16
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+={0,2}" % WINDOW)
-#: Bits a character from which a window of a class counts: hexadecimal digits; digits and letters of one case; any.
-THRESHOLDS = {"hex": 3.0, "lower": 3.6, "mixed": 3.9}
+#: Bits a character from which a window of a class counts: hexadecimal digits; digits and letters of one case; any. In 4,000 random
+#: windows of 16 characters 95 % reach these (measured quantiles at 5 %: 2.83, 3.28 and 3.50).
+THRESHOLDS = {"hex": 2.8, "lower": 3.25, "mixed": 3.5}
 #: Candidates that are not secrets: UUIDs, words joined by one sign, paths of words, placeholders.
 ALLOW = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
@@ -95,14 +98,21 @@ def scan(text: str | None, allow: re.Pattern | None = None) -> list[tuple[int, i
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
     found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    base = sorted(found)
+    base: list[list[int]] = []  # merged, so that starts and ends both ascend
+    for a, b, _ in sorted(found):
+        if base and a < base[-1][1]:
+            base[-1][1] = max(base[-1][1], b)
+        else:
+            base.append([a, b])
+    starts = [a for a, _ in base]
     for m in CANDIDATE.finditer(text):
         s = m[0]
         if s.isalpha() or allow.fullmatch(s):
             continue
         for a, b in entropy_spans(s):
             a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, y, _ in base):
+            k = bisect_left(starts, b) - 1  # the last that begins before the span's end
+            if k < 0 or base[k][1] <= a:
                 found.append((a, b, "entropy"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
