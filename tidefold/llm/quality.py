@@ -6,7 +6,8 @@ probability is shared among as many words as trusted text has outside the vocabu
 begins after start marks. With counts c of the n-grams, the three discounts D from the counts of counts, and g(v) the mass that
 they free in context v, p(w|v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p'(w), where p' is the same over contexts shorter by a word, with the
 number of different words before an n-gram in place of its count, and the shortest is interpolated with the uniform distribution. A trusted text is
-scored without its own occurrences of the longest n-grams. Perplexity is exp(-log p / words); a document is kept if it is at
+scored without its own occurrences of the longest n-grams (the totals of their contexts and the shorter n-grams still count it, so that trusted
+perplexities, and with them the thresholds, are a little low). Perplexity is exp(-log p / words); a document is kept if it is at
 most its language's QUANTILE of trusted documents (of all documents, where a language has none).
 
 Method. Words, contexts and n-grams are 64-bit hashes. Counts are sharded by n-gram: Python tasks count what they read in bounded tables, Spark
@@ -16,7 +17,7 @@ shorter one. Where a document is read, the HOT most frequent keys (a bounded tab
 are joined with the values by key and added up by document. Nothing but the hot keys is broadcast or collected.
 Language quantiles come from exact counts of log perplexities in steps of 0.001.
 
-Defined cases: null and wordless texts have no perplexity and are not kept; rows that repeat a doc_id are one document; a null lang is a language;
+Defined cases: null and wordless texts have no perplexity and are not kept; rows that repeat a doc_id are one document, rows without one are a document each; a null lang is a language;
 without trusted text every word is unknown; extra columns are not read.
 """
 
@@ -206,15 +207,17 @@ def _parts(model, batch: pa.RecordBatch) -> pa.RecordBatch:
     rest = ~hot
     off = np.concatenate([[0], np.cumsum(np.bincount(text[rest], minlength=len(n)))]).astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(x[rest], t)) for x, t in ((key, pa.int64()), (a, pa.int32()), (b, pa.int32()))]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("trusted"), pa.array(n), pa.array(total), *lists], ["doc_id", "lang", "trusted", "n", "log", "keys", "a", "b"])
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "lang", "trusted")), pa.array(n), pa.array(total), *lists], ["doc_id", "row", "lang", "trusted", "n", "log", "keys", "a", "b"])
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: int = 2) -> DataFrame:
     """(doc_id, lang, trusted, n_words, log_prob) per document."""
     spark = docs.sparkSession
     good = scratch.save(labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select(F.col("doc_id").cast("long").alias("id2")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(small(good, good.count()), F.col("doc_id") == F.col("id2"), "left")
-    rows = rows.select("doc_id", "lang", "text", F.col("id2").isNotNull().alias("trusted"))
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # a row without an id is a document of its own
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), alone.alias("row"), "lang", "text")
+    rows = rows.join(small(good, good.count()), F.col("doc_id") == F.col("id2"), "left")
+    rows = rows.select("doc_id", "row", "lang", "text", F.col("id2").isNotNull().alias("trusted"))
     table, d, unknown, vocab = values(rows.where("trusted"), order, scratch)
     # what words and contexts add is looked up most: they stand first, then n-grams from the least count such that at most HOT keys are held
     left, least, step = HOT, 1, F.coalesce("c", F.lit(10_000))
@@ -232,15 +235,16 @@ def perplexities(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: in
             for piece in slices(batch, "text"):
                 yield _parts(sent, piece)
 
-    schema = "doc_id long, lang string, trusted boolean, n long, log double, keys array<long>, a array<int>, b array<int>"
-    parts = scratch.save(rows.select("doc_id", "lang", "trusted", "text").mapInArrow(run, schema))
-    rest = parts.select("doc_id", "trusted", F.explode(F.arrays_zip("keys", "a", "b")).alias("e")).select("doc_id", "trusted", "e.keys", "e.a", "e.b")
+    schema = "doc_id long, row long, lang string, trusted boolean, n long, log double, keys array<long>, a array<int>, b array<int>"
+    parts = scratch.save(rows.select("doc_id", "row", "lang", "trusted", "text").mapInArrow(run, schema))
+    rest = parts.select("doc_id", "row", "trusted", F.explode(F.arrays_zip("keys", "a", "b")).alias("e")).select("doc_id", "row", "trusted", "e.keys", "e.a", "e.b")
     joined = rest.join(table.where(step < least), F.col("keys") == F.col("key"))
     c = F.col("c") - F.when(F.col("trusted"), F.col("a")).otherwise(0)
     gain = F.when(F.col("c").isNull(), F.col("x")).otherwise(F.log1p(F.greatest(c - _cut(c, d), F.lit(0.0)) * F.col("x")))
-    gains = joined.groupBy("doc_id").agg(F.sum(F.col("a") * gain + F.col("b") * F.col("y")).alias("gain"))
-    base = parts.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("trusted").alias("trusted"), F.sum("n").alias("n_words"), F.sum("log").alias("log"))
-    both = base.join(gains.withColumnRenamed("doc_id", "id2"), F.col("doc_id").eqNullSafe(F.col("id2")), "left")
+    gains = joined.groupBy("doc_id", "row").agg(F.sum(F.col("a") * gain + F.col("b") * F.col("y")).alias("gain"))
+    base = parts.groupBy("doc_id", "row").agg(F.min("lang").alias("lang"), F.max("trusted").alias("trusted"), F.sum("n").alias("n_words"), F.sum("log").alias("log"))
+    gains = gains.withColumnsRenamed({"doc_id": "id2", "row": "row2"})
+    both = base.join(gains, F.col("doc_id").eqNullSafe(F.col("id2")) & F.col("row").eqNullSafe(F.col("row2")), "left")
     return scratch.save(both.select("doc_id", "lang", "trusted", "n_words", (F.col("log") + F.coalesce("gain", F.lit(0.0))).alias("log_prob")))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, ALNUM, Scratch, arrow_map, buffers, mix64, range_hash, small, tokenise
+from .common import _LOWER, ALNUM, Scratch, arrow_map, buffers, mix64, private, range_hash, small, tokenise
 
 WINDOW, STRIDE = 64, 48
 #: Most rows of label 1 and of label 0 that a model is trained on.
@@ -284,7 +284,8 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows whose own text the network trained on them and labels rejects, also where doc_id is null or repeated."""
-    bad = _scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_id2"), F.col("h").alias("_h2")).distinct()
+    id2, h2 = private(docs, "id2", "h2")
+    bad = _scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias(id2), F.col("h").alias(h2)).distinct()
     bad = Scratch(docs.sparkSession, "toxic").save(bad)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id2")) & (F.xxhash64("text") == F.col("_h2"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id2)) & (F.xxhash64("text") == F.col(h2))
     return docs.join(small(bad, bad.count()), same, "left_anti")

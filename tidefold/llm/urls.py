@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, light, private, small
 
 #: Blocks (of eight words) that may be broadcast: 100,000 rows of 40 bytes.
 BLOCKS_BROADCAST = 100_000
@@ -101,16 +101,17 @@ def listed_urls(rows: DataFrame, listed: DataFrame, scratch: Scratch) -> DataFra
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """pages with host, path, rule, verdict and canonical; listed(url) holds canonical URLs to block."""
+    """pages with host, path, rule, verdict and canonical, which replace columns of these names; all others pass through. listed(url) holds canonical URLs to block."""
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_path(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.withColumns({"host": host, "path": path, "canonical": canonical(F.col("url"))}).withColumns({"rule": rule, "verdict": verdict})
     open_ = rows.where("verdict is null").select(F.col("canonical").alias("url"))
     hits = scratch.save(listed_urls(open_, listed, scratch))
-    hits = small(hits, hits.count()).select(F.col("url").alias("hit"))
-    out = rows.join(hits, (F.col("canonical") == F.col("hit")) & F.col("verdict").isNull(), "left")
-    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("hit").isNotNull(), "block").otherwise("allow"))).drop("hit")
+    hit = private(rows, "hit")[0]
+    hits = light(hits.select(F.col("url").alias(hit)))
+    out = rows.join(hits, (F.col("canonical") == F.col(hit)) & F.col("verdict").isNull(), "left")
+    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col(hit).isNotNull(), "block").otherwise("allow"))).drop(hit)
 
 
 def tracked(pages: DataFrame) -> DataFrame:
