@@ -347,6 +347,48 @@ def test_schedules():
     assert [round(p.rate(s, v), 4) for v in (1, 2, 2, 2, 2)] == [0.1, 0.1, 0.1, 0.05, 0.05]
 
 
+def test_soft_predictions_and_diagnostics():
+    x, y = data(1500)
+    m = boosting.SGBT(3, steps=6, rate=0.2, grace=30, bins=16, subsample=1.0, start=10, depth=3)
+    _, s = run(m, x, y)
+    for a in x[:20]:
+        assert m.smooth(s, a, 1e-9) == pytest.approx(m.raw(s, a)) and abs(m.smooth(s, a, 0.02) - m.raw(s, a)) < 1.5
+        assert abs(m.interpolated(s, a) - m.raw(s, a)) < 1.5 and m.variance(s, a) > 0
+    nodes = m.nodes(s)
+    assert [(t, n) for t, n, *_ in m.diagnostics(s)] == [(t, sum(v[0] == t and v[2] < 0 for v in nodes)) for t in range(6)]
+    assert m.importances(s).sum() == pytest.approx(1) and m.importances(s)[2] < 0.3
+
+
+@pytest.mark.parametrize("kernel", ["polynomial", "linear"])
+def test_kernels(kernel):
+    x, y = data(300)
+    p, s = run(adaptive.KernelRLS(budget=30, kernel=kernel, novelty=1e-3), x, y)
+    assert np.abs(p[-100:] - y[-100:]).mean() < 0.2
+
+
+@pytest.mark.parametrize("stage", [adaptive.EchoState(3, 8), neural.SpikeNet(3, 6, change=0.1), neural.Mamba(3, 2), neural.Attention(3, "gla", 1, 2), neural.DiagonalSSM(3)])
+def test_layers_as_preprocessors(stage):
+    """transform shows what update would give and moves nothing."""
+    x, _ = data(30)
+    s = stage.new()
+    for a in x:
+        seen = stage.transform(s, a)
+        again = stage.transform(s, a)
+        z, s = stage.update(s, a)
+        assert (seen == again).all() and (seen == z).all()
+    p, _ = run(evaluate.Pipeline((stage,), learners.RLS(len(z), 0.999)), *data(300))
+    assert np.isfinite(p).all()
+
+
+def test_packed_distributional():
+    x, y = data(800)
+    m = boosting.Distributional(boosting.SGBT(3, steps=5, rate=0.2, grace=30, start=10, depth=3))
+    _, s = run(m, x, y)
+    blob, sd = sinks.pack_distributional(m, s, 3)
+    mean, dev, _ = m.forecast(s, x[0])
+    assert sinks.predict_packed(blob, x[:1])[0] == pytest.approx(mean, abs=1e-5) and sd == pytest.approx(dev)
+
+
 # ---- generators
 
 

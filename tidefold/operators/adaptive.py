@@ -15,26 +15,33 @@ class KernelRLS:
     """Kernel recursive least squares over a dictionary of at most `budget` rows.
 
     A row enters the dictionary if its squared distance from the span of the rows there exceeds `novelty`;
-    other rows only correct the weights. The kernel is Gaussian.
+    other rows only correct the weights. kernel: "gaussian" (exp(-gamma d^2)), "polynomial" ((gamma x.y + 1)^degree) or "linear".
     """
 
     budget: int = 100
     gamma: float = 1.0
     novelty: float = 1e-4
+    kernel: str = "gaussian"
+    degree: int = 2
 
     def new(self):
         return None
 
     def _k(self, rows, x):
-        return np.exp(-self.gamma * ((rows - x) ** 2).sum(axis=1))
+        if self.kernel == "gaussian":
+            return np.exp(-self.gamma * ((rows - x) ** 2).sum(axis=1))
+        return (self.gamma * (rows @ x) + 1) ** self.degree if self.kernel == "polynomial" else rows @ x
 
     def step(self, s, x, y):
         if s is None:
-            return 0.0, (x[None, :].copy(), np.ones((1, 1)), np.ones((1, 1)), np.array([y]))
+            own = float(self._k(x[None, :], x)[0])
+            if own <= self.novelty:
+                return 0.0, None
+            return 0.0, (x[None, :].copy(), np.full((1, 1), 1 / own), np.ones((1, 1)), np.array([y / own]))
         rows, inv, cov, w = s
         k = self._k(rows, x)
         a = inv @ k
-        gap, err = 1.0 - float(k @ a), y - float(k @ w)
+        gap, err = float(self._k(x[None, :], x)[0]) - float(k @ a), y - float(k @ w)
         if gap > self.novelty and len(rows) < self.budget:
             n = len(rows)
             grown = np.zeros((n + 1, n + 1))
@@ -63,14 +70,27 @@ class EchoState:
     def __post_init__(self):
         rng = np.random.default_rng(self.seed)
         self.inputs = self.scale * rng.choice([-1.0, 1.0], (self.units, self.dim))
+        self.bias = 0.1 * self.scale * rng.choice([-1.0, 1.0], self.units)
         self.read = RLS(self.units + self.dim + 1, 0.999)
 
     def new(self):
         return np.zeros(self.units), 0, self.read.new()
 
+    def _next(self, h, x):
+        return (1 - self.leak) * h + self.leak * np.tanh(self.inputs @ x + self.bias + self.radius * np.roll(h, 1))
+
+    def update(self, s, x):
+        """As a preprocessor: the units after the row, and the row."""
+        h = self._next(s[0], np.asarray(x, float))
+        return np.concatenate([h, x]), (h, s[1] + 1, s[2])
+
+    def transform(self, s, x):
+        """The same; the state does not move."""
+        return self.update(s, x)[0]
+
     def step(self, s, x, y):
         h, n, r = s
-        h = (1 - self.leak) * h + self.leak * np.tanh(self.inputs @ x + self.radius * np.roll(h, 1))
+        h = self._next(h, x)
         if n < self.warmup:
             return 0.0, (h, n + 1, r)
         p, r = self.read.step(r, np.concatenate([h, x, [1.0]]), y)

@@ -414,6 +414,40 @@ class SGBT:
                 out.append((i, k, int(f.feature[t, k]), float(f.threshold[t, k]) if inner else 0.0, left, left + 1 if inner else -1, float(f.value[t, k]), int(f.n[t, k]), int(f.depth[t, k])))
         return out
 
+    def smooth(self, s: dict, x: np.ndarray, bandwidth: float) -> float:
+        """Soft routing: at each node both sides count, by a sigmoid of the distance to the threshold over the bandwidth."""
+        f = s["forest"]
+
+        def value(t: int, i: int) -> float:
+            if f.feature[t, i] < 0:
+                return float(f.value[t, i])
+            z = (f.threshold[t, i] - x[f.feature[t, i]]) / bandwidth
+            left, k = 1 / (1 + math.exp(-min(max(z, -500.0), 500.0))), int(f.child[t, i])
+            return left * value(t, k) + (1 - left) * value(t, k + 1)
+
+        return s["base"] + self.rate * sum(value(int(t), 0) for t in s["active"])
+
+    def interpolated(self, s: dict, x: np.ndarray) -> float:
+        """Leaves of little weight lean on their parents: h / (h + reg) of the leaf, the rest of its parent's last value."""
+        f, total = s["forest"], 0.0
+        for t in s["active"]:
+            up, i = None, 0
+            while f.feature[t, i] >= 0:
+                up, i = i, int(f.child[t, i]) + int(x[f.feature[t, i]] > f.threshold[t, i])
+            a = f.h[t, i] / (f.h[t, i] + self.reg)
+            total += f.value[t, i] if up is None else a * f.value[t, i] + (1 - a) * f.value[t, up]
+        return s["base"] + self.rate * float(total)
+
+    def variance(self, s: dict, x: np.ndarray) -> float:
+        """Of the prediction: the sum of the leaves' 1 / (h + reg), by the square of the rate."""
+        f, a = s["forest"], s["active"]
+        return self.rate**2 * float((1 / (f.h[a, f.route(a, x)] + self.reg)).sum())
+
+    def diagnostics(self, s: dict) -> list[tuple[int, int, int, int]]:
+        """(tree, leaves, greatest depth, rows seen) of every tree."""
+        f = s["forest"]
+        return [(i, int((f.feature[t, : f.used[t]] < 0).sum()), int(f.depth[t, : f.used[t]].max()), int(f.seen[t])) for i, t in enumerate(s["active"])]
+
     def importances(self, s: dict) -> np.ndarray:
         """Split gains by feature, as shares."""
         g = s["forest"].gains[s["active"]].sum(axis=0)

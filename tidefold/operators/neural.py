@@ -217,12 +217,25 @@ class SpikeNet:
         zero = np.zeros(self.units, np.int64)
         return {"w": self.w.copy(), "v": zero, "spikes": zero, "pre": np.zeros(2 * self.dim), "trace": np.zeros((self.units, 2 * self.dim)), "last": None, "out": np.zeros(self.units), "sum": np.zeros(self.units), "bias": 0.0}
 
-    def step(self, s, x, y):
-        x = np.asarray(x, float)
+    def _forward(self, s, x):
         gap = x - (x if s["last"] is None else s["last"])
         spikes = np.concatenate([gap > self.change, gap < -self.change]).astype(np.int64)
         v = (s["v"] * self.keep >> 14) + s["w"] @ spikes - s["spikes"] * self.fire
-        fired = (v >= self.fire).astype(np.int64)
+        return spikes, v, (v >= self.fire).astype(np.int64)
+
+    def update(self, s, x):
+        """As a preprocessor: the units' spikes and membranes after the row; nothing is learned."""
+        x = np.asarray(x, float)
+        _, v, fired = self._forward(s, x)
+        return np.concatenate([fired, v / self.ONE]), {**s, "v": v, "spikes": fired, "last": x}
+
+    def transform(self, s, x):
+        """The same; the state does not move."""
+        return self.update(s, x)[0]
+
+    def step(self, s, x, y):
+        x = np.asarray(x, float)
+        spikes, v, fired = self._forward(s, x)
         s["sum"] = self.decay * s["sum"] + fired
         p = float(s["out"] @ s["sum"]) + s["bias"]
         err = p - y

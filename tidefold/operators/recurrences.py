@@ -46,9 +46,25 @@ def quantile_track(rows: DataFrame, key: list[str], order: list[str], x: str, ta
     return _fold(rows, key, order, x, "named_struct('n', 0L, 'q', 0D)", f"named_struct('n', s.n + 1, 'q', if(x > s.q, s.q + {rate * tau}D, s.q - {rate * (1 - tau)}D))", ["n", "q"])
 
 
-def adaptive_conformal(rows: DataFrame, key: list[str], order: list[str], missed: str, alpha: float = 0.1, gamma: float = 0.01) -> DataFrame:
-    """The level that follows misses (1 or 0): a += gamma * (alpha - missed), within 0.001 and 0.999."""
-    return _fold(rows, key, order, missed, f"named_struct('n', 0L, 'level', {alpha}D)", f"named_struct('n', s.n + 1, 'level', least(0.999D, greatest(0.001D, s.level + {gamma}D * ({alpha}D - x))))", ["n", "level"])
+def adaptive_conformal(rows: DataFrame, key: list[str], order: list[str], missed: str, alpha: float = 0.1, gamma: float = 0.01, beta: float = 0.0) -> DataFrame:
+    """The level that follows misses (1 or 0): a += gamma / n^beta * (alpha - missed), within 0.001 and 0.999; the share of rows covered, and the quantiles a/2 and 1 - a/2."""
+    step = f"least(0.999D, greatest(0.001D, s.level + {gamma}D / pow(s.n + 1, {beta}D) * ({alpha}D - x)))"
+    out = _fold(rows, key, order, missed, f"named_struct('n', 0L, 'level', {alpha}D, 'missed', 0D)", f"named_struct('n', s.n + 1, 'level', {step}, 'missed', s.missed + x)", ["n", "level", "missed"])
+    return out.select(*key, "n", "level", (1 - F.col("missed") / F.col("n")).alias("coverage"), (F.col("level") / 2).alias("lower"), (1 - F.col("level") / 2).alias("upper"))
+
+
+def strongly_adaptive(rows: DataFrame, key: list[str], order: list[str], x: str, alpha: float = 0.1, experts: int = 10) -> DataFrame:
+    """A threshold for scores x that all but a share alpha should stay under: expert i steps by 2^-i, bets on it, and is weighed by its wealth."""
+    err = "(if(x > e, 1D, 0D))"
+    est = f"transform(s.est, (e, i) -> greatest(0D, e + pow(0.5D, i) * ({alpha}D - {err})))"
+    wealth = f"transform(s.wealth, (w, i) -> greatest(1e-10D, w * (1D + least(0.4D, greatest(-0.4D, pow(0.5D, i) * ({alpha}D - if(x > s.est[i], 1D, 0D)))))))"
+    total = "aggregate(t.wealth, 0D, (a, w) -> a + w)"
+    mean = f"aggregate(zip_with(t.wealth, t.est, (w, e) -> w * e), 0D, (a, v) -> a + v) / {total}"
+    # the new experts are bound once (a let by an array of one), then the threshold is theirs
+    step = f"""transform(transform(array(named_struct('est', {est}, 'wealth', {wealth})), t -> named_struct('est', t.est, 'wealth', t.wealth, 'at', {mean})),
+        t -> named_struct('n', s.n + 1, 'est', t.est, 'wealth', t.wealth, 'threshold', t.at, 'covered', s.covered + if(x <= t.at, 1L, 0L)))[0]"""
+    init = f"named_struct('n', 0L, 'est', array_repeat({alpha}D, {experts}), 'wealth', array_repeat(1D, {experts}), 'threshold', {alpha}D, 'covered', 0L)"
+    return _fold(rows, key, order, x, init, step, ["n", "threshold", "covered"])
 
 
 def decompose(rows: DataFrame, key: list[str], order: list[str], x: str, period: int, alpha: float = 0.1, gamma: float = 0.1) -> DataFrame:

@@ -299,13 +299,27 @@ def quantile_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rec.quantile_track(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", 0.9, 0.5), 4)
 
 
-@query("adaptive_conformal", """with l as (select user_id, list_concat([0.1::double], list((value > 60)::int::double order by ts, event_id)) as v from events where value is not null group by 1)
-select user_id, (len(v) - 1)::bigint as n, round(list_reduce(v, lambda a, x : least(0.999::double, greatest(0.001::double, a + 0.01::double * (0.1::double - x)))), 6) as level from l""")
+@query("adaptive_conformal", """with l as (select user_id, list_concat([0.1::double], list((value > 60)::int::double order by ts, event_id)) as v, avg((value > 60)::int::double) as missed from events where value is not null group by 1),
+a as (select user_id, (len(v) - 1)::bigint as n, list_reduce(v, lambda a, x : least(0.999::double, greatest(0.001::double, a + 0.01::double * (0.1::double - x)))) as level, missed from l)
+select user_id, n, round(level, 6) as level, round(1 - missed, 6) as coverage, round(level / 2, 6) as lower, round(1 - level / 2, 6) as upper from a""")
 def adaptive_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).withColumn("missed", (F.col("value") > 60).cast("double"))
     return rounded(rec.adaptive_conformal(rows, ["user_id"], ["ts", "event_id"], "missed"))
 
 
+@query("strongly_adaptive", folded("select user_id, " + _I + " as i, value / 100 as x from events where value is not null", {
+    "n": ("0::bigint", "n + 1"), "est": ("[0.1::double for k in range(10)]", "e2"), "wealth": ("[1::double for k in range(10)]", "w2"), "threshold": ("0.1::double", "t"),
+    "covered": ("0::bigint", "covered + (x <= t)::int"),
+}, "select user_id, n, round(threshold, 6) as threshold, covered from last", (
+    {"e2": "list_transform(est, lambda e, k : greatest(0, e + pow(0.5::double, k - 1) * (0.1::double - (x > e)::int)))",
+     "w2": "list_transform(wealth, lambda w, k : greatest(1e-10, w * (1 + least(0.4, greatest(-0.4, pow(0.5::double, k - 1) * (0.1::double - (x > est[k])::int))))))"},
+    {"t": "list_sum(list_transform(e2, lambda e, k : e * w2[k])) / list_sum(w2)"},
+)))
+def strongly_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).withColumn("value", F.col("value") / 100)
+    return rounded(rec.strongly_adaptive(rows, ["user_id"], ["ts", "event_id"], "value"))
+
+
 _PH_STATE = {
     "n": ("0::bigint", "n + 1"), "mean": ("0::double", "m"), "up": ("0::double", "case when most > 50 then 0 else u end"),
     "low": ("'infinity'::double", "case when most > 50 then 'infinity'::double else lo end"), "down": ("0::double", "case when most > 50 then 0 else d end"),

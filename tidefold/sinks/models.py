@@ -151,6 +151,12 @@ def pack(nodes: list[tuple], base: float, rate: float, dim: int) -> bytes:
     return struct.pack("<IIIIIf", MAGIC, VERSION, trees, at, dim, base) + struct.pack(f"<{trees}I", *first) + body
 
 
+def pack_distributional(learner, state: dict, dim: int) -> tuple[bytes, float]:
+    """The packed mean model of a distributional learner, and its deviation (empirical mode)."""
+    mean = state["mean"]
+    return pack(learner.model.nodes(mean), mean["base"], learner.model.rate, dim), float(np.sqrt(state["square"]))
+
+
 def unpack(data: bytes) -> dict:
     """The arrays of `pack` or `pack16`; raises ValueError for anything else."""
     if len(data) < 24:
