@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidefold.llm import decontaminate, minhash, quality, secrets, topk, toxicity, urls
+from tidefold.llm import common, decontaminate, minhash, quality, secrets, topk, toxicity, urls
 
 
 def test_near_duplicates_join_the_classes_of_one_id(spark):
@@ -156,3 +156,25 @@ def test_whole_secret_scan_against_a_plain_one(spark):
         assert got[i].spans == line(every), t
         assert got[i].base_sha256 == hashlib.sha256(line(base).encode()).hexdigest()
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[2] == k for x in base) for k in ("assign", "access", "hex"))
+
+
+def test_steps_delete_what_earlier_steps_left(spark, tmp_path):
+    """Tables of earlier steps go, those that docs reads and those made outside of steps stay."""
+    import os
+
+    roots = []
+
+    @common.step
+    def one(spark, docs, sf_dir):
+        s = common.Scratch(spark, "step")
+        roots.append(s.root.removeprefix("file://"))
+        return s.save(docs)
+
+    outside = common.Scratch(spark, "outside")
+    table = outside.save(spark.range(3))
+    first = one(spark, table, "")
+    second = one(spark, first, "")  # reads the first step's table
+    assert os.path.isdir(roots[0]) and second.count() == 3
+    second.write.parquet(str(tmp_path / "out"))
+    third = one(spark, spark.read.parquet(str(tmp_path / "out")), "")
+    assert not os.path.isdir(roots[0]) and not os.path.isdir(roots[1]) and third.count() == 3 and table.count() == 3

@@ -3,6 +3,9 @@ broadcasts, connected components, and a vectorised tokeniser over Arrow buffers.
 
 from __future__ import annotations
 
+import functools
+import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,6 +36,8 @@ class Scratch:
         base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidefold-scratch"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if getattr(_local, "step", False):
+            _local.made.append(self)
 
     def save(self, df: DataFrame, arrow_rows: int = 512) -> DataFrame:
         """arrow_rows bounds what a Python worker holds at once: few, as texts may be long."""
@@ -56,6 +61,39 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def sweep(self) -> None:
+        """Lets Spark's cleaner delete the shuffles of finished queries now, not when the driver's memory next fills."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+_local = threading.local()
+
+
+def step(f: Callable) -> Callable:
+    """A pipeline's step (spark, docs, sf_dir) -> DataFrame, whose result is written and read again as the next one's docs.
+
+    It begins by deleting the scratch tables that this thread's earlier steps, and only they, wrote, but for those that docs still reads.
+    """
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        made, read = getattr(_local, "made", []), docs.inputFiles()
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        gone = [s for s in made if not any(path(s.root).toUri().getPath() in x for x in read)]
+        for s in gone:
+            path(s.root).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(s.root), True)
+        if gone:
+            gone[-1].sweep()
+        _local.made, _local.step = [s for s in made if s not in gone], True
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _local.step = False
+
+    return run
+
+
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast if its counted rows are within the bound; else Spark shuffles it."""
     return F.broadcast(df) if rows <= most else df

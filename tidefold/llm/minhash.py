@@ -169,6 +169,7 @@ def near_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
             docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi"), _sets, "doc_id long, shingles binary, bits array<long>"
         )
     )
+    scratch.sweep()
     last = members.agg(F.max("rank")).first()[0]
     classed = sketch.join(classes.drop("bands"), ["fp1", "fp2", "n_shingles"], "left")
     active, low, width, once, comp = members.withColumn("comp", F.col("rep")), 0, 1, "", None

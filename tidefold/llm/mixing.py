@@ -180,6 +180,8 @@ def mixed_blocks(docs: DataFrame) -> DataFrame:
         copies = texts.join(few, key(texts, few), "left_semi").groupBy(*same).agg(F.first("source").alias("source"), F.first("text").alias("text"))
         texts = texts.join(few, key(texts, few), "left_anti").union(copies)
     lists = lists.withColumnsRenamed({"sid": "sid2", "doc_id": "id2", "h": "h2"})
+    lists = scratch.save(lists)
+    scratch.sweep()
     both = texts.join(lists, (F.col("sid") == F.col("sid2")) & F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")))
     # the words are bound once a document (a let by an array of one), then sliced piece by piece
     part = lambda w, p: F.array_join(F.slice(w, p["word"] + 1, p["n"]), " ")
