@@ -175,7 +175,7 @@ def test_rest_of_blocks_is_compared(spark):
     """Two components of one block that only the second pass can link, at any size of either; what is not similar stays apart."""
     rows = [(i, " ".join(["same words here as ever so that they are alike"] + [w])) for i, w in enumerate(("one", "two", "six"))] + [(9, "something else entirely in the very same block of course")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
-    classes = docs.selectExpr("doc_id as id", "doc_id", "0 as line", "h")
+    classes = docs.selectExpr("doc_id as id", "doc_id", "0 as line", "h", "unhex('00000000000000FF') as sig")
     scratch = common.Scratch(spark, "rest")
     active = spark.createDataFrame([(1, i, 0, 300) for i in (0, 1, 2, 9)], "block long, id long, sketch long, size long")
     for have in (None, spark.createDataFrame([(0, 0), (1, 0)], "node long, comp long")):
