@@ -384,15 +384,15 @@ def gaussian_nb_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gaussian_nb_predict", """with m as (select l_returnflag as c, ln(count(*) / (select count(*) from lineitem)) as prior, avg(l_quantity) as m0, var_pop(l_quantity) as w0,
  avg(l_discount) as m1, var_pop(l_discount) as w1 from lineitem group by 1),
 n as (select *, w0 + 1e-9 * max(greatest(w0, w1)) over () as v0, w1 + 1e-9 * max(greatest(w0, w1)) over () as v1 from m),
-s as (select l_linenumber, l_quantity, l_discount, c, prior - 0.5 * (ln(2 * pi() * v0) + (l_quantity - m0) ** 2 / v0 + ln(2 * pi() * v1) + (l_discount - m1) ** 2 / v1) as s
- from (select distinct l_linenumber, l_quantity, l_discount from lineitem), n),
-r as (select *, row_number() over (partition by l_linenumber, l_quantity, l_discount order by round(s, 9) desc, c) as k from s)
-select l_linenumber, l_quantity, l_discount, c as class from r where k = 1""")
+l as (select *, row_number() over () as r from lineitem),
+s as (select r, l_orderkey, l_partkey, l_suppkey, l_linenumber, c, prior - 0.5 * (ln(2 * pi() * v0) + (l_quantity - m0) ** 2 / v0 + ln(2 * pi() * v1) + (l_discount - m1) ** 2 / v1) as s from l, n),
+b as (select *, row_number() over (partition by r order by round(s, 9) desc, c) as k from s)
+select l_orderkey, l_partkey, l_suppkey, l_linenumber, c as class from b where k = 1""")
 def gaussian_nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every line."""
     rows = table(spark, sf_dir, "lineitem")
     moments = models.gaussian_moments(rows, "l_returnflag", ["l_quantity", "l_discount"])
-    asked = rows.select("l_linenumber", "l_quantity", "l_discount").distinct()
-    return asked.withColumn("class", models.gaussian_predict(moments, "l_returnflag", ["l_quantity", "l_discount"]))
+    return rows.select(*_LI.split(", "), models.gaussian_predict(moments, "l_returnflag", ["l_quantity", "l_discount"]).alias("class"))
 
 
 @query("multinomial_nb", """with c as (select user_id % 2 as c, event_type, sum(value) as n from events group by all), t as (select c, sum(n) as t from c group by 1)
@@ -407,11 +407,11 @@ def bernoulli_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.bernoulli(table(spark, sf_dir, "lineitem"), "l_returnflag", {"l_quantity": 25.0, "l_discount": 0.05}, 1.0))
 
 
-@query("cluster_features", """with x as (select label, unnest(embedding[1:4]) as x, unnest([0, 1, 2, 3]) as i from embeddings)
+@query("cluster_features", """with x as (select label, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings)
 select label, i::int as i, count(*) as n, round(sum(x::double), 4) as ls, round(sum(x::double * x::double), 4) as ss from x group by all""")
 def cluster_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 4).alias("x"))
-    return rounded(models.cluster_features(rows, "label", "x"), 4)
+    rows = table(spark, sf_dir, "embeddings").select("label", "embedding")
+    return rounded(models.cluster_features(rows, "label", "embedding"), 4)
 
 
 @query("ucb1", """with a as (select event_type as arm, count(*) as n, avg(value / 100) as mean from events group by 1)
@@ -696,13 +696,19 @@ def temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.run_batch(scored(spark, sf_dir).withColumn("x", F.array("s")), adaptive.Temperature(), ["user_id"], ["ts", "event_id"], "x", "yb")
 
 
+#: Lines that the scored model is fitted on, the first by a hash of the line; every line is scored.
+FIT_LINES = 5_000
+
+
 def _boosted(spark: SparkSession, sf_dir: str):
-    """One boosted model of the discount by three columns of lineitem's first 5,000 orders, fitted by one task; and its nodes."""
+    """One boosted model of the discount by three columns of a bounded sample of lines, fitted by one task; and its nodes."""
     import pickle
 
     rows = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("k"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax", "l_discount", F.array("l_quantity", "l_tax", F.col("l_extendedprice") / 1000).alias("x"))
     model = _small(subsample=1.0, grace=100)
-    fitted = sinks.fit(rows.where("l_orderkey <= 5000"), model, ["k"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax"], "x", "l_discount").first()
+    keyed = rows.withColumn("h", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax", "l_discount"))
+    sample = keyed.orderBy("h", "l_orderkey", "l_linenumber").limit(FIT_LINES)
+    fitted = sinks.fit(sample, model, ["k"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax"], "x", "l_discount").first()
     state = pickle.loads(fitted.state)
     return rows, model, state, model.nodes(state)
 
