@@ -37,7 +37,6 @@ def classification(y: Column, p: Column, proba: Column | None = None, clip: floa
 def kappa(rows: DataFrame, y: str, p: str, key: list[str]) -> DataFrame:
     """Cohen's kappa and kappa M (against the majority class) per key, from the confusion counts."""
     cells = rows.groupBy(*key, y, p).agg(F.count("*").alias("n"))
-    by = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(1))
     t = cells.groupBy(*key, y).agg(F.sum("n").alias("t"), F.sum(F.when(F.col(y) == F.col(p), F.col("n")).otherwise(0)).alias("hit"))
     q = cells.groupBy(*key, p).agg(F.sum("n").alias("q")).withColumnRenamed(p, y)
     m = t.join(q, [*key, y], "full").fillna(0, ["t", "hit", "q"])

@@ -35,7 +35,7 @@ def one_hot(x: Column, categories: list) -> Column:
 
 
 def discover(rows: DataFrame, x: str, most: int = 64) -> list:
-    """The sorted distinct values, at most `most` of them, by first appearance in sort order."""
+    """The sorted distinct values, the first `most` in sort order; further ones have no place and encode as zeros (a fixed limit of the method, 64)."""
     return [r[0] for r in rows.select(x).where(F.col(x).isNotNull()).distinct().orderBy(x).limit(most).collect()]
 
 
