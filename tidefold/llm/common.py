@@ -232,7 +232,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
-def tokenise(data: np.ndarray, off: np.ndarray, table: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokenise(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in data, and the place of each text's first word (one more entry: the number of words)."""
     m = table[data]
     edge = np.zeros(len(data) + 2, np.int8)
