@@ -216,7 +216,13 @@ def test_edit_distance():
     rng = random.Random(4)
     for _ in range(400):
         a, b = ("".join(rng.choice("abü ") for _ in range(rng.randrange(12))) for _ in range(2))
-        assert lines.distance(a, b) == plain(a, b)
+        want = plain(a, b)
+        assert lines.distance(a, b) == want
+        for most in range(8):
+            assert (lines.distance(a, b, most) <= most) == (want <= most)
+        x, y = ([w for w in t.split(" ") if w] for t in (a, b))
+        if x and y:
+            assert lines.bound(x, y) >= plain(" ".join(x), " ".join(y))
 
 
 def test_secrets(spark):
