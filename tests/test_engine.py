@@ -41,6 +41,19 @@ def test_query_matches_its_sql(spark, duck, name):
     assert normal([tuple(r) for r in got.collect()], got.columns) == normal(want.fetchall(), want.columns)
 
 
+def test_page_hinkley_as_its_sql_at_the_edges(spark, duck, tmp_path):
+    """A sum that lands on the threshold but for its last bit, and a mean next to a half of the last digit."""
+    values = {1: [125.11, 25.1, 82.97, 147.55, 35.93], 2: np.round(np.random.default_rng(561).uniform(0, 100, 32), 2).tolist()}
+    rows = [(u, i, float(v)) for u, x in values.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, value double").selectExpr("event_id", "timestamp_seconds(event_id) as ts", "user_id", "'view' as event_type", "value")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["page_hinkley"](spark, str(tmp_path))
+    con = duck.cursor()
+    con.execute(f"create temp view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(catalog.SQL["page_hinkley"])
+    assert normal([tuple(r) for r in got.collect()], got.columns) == normal(want.fetchall(), want.columns)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_other_queries_give_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

@@ -22,7 +22,8 @@ def page_hinkley(rows: DataFrame, key: list[str], order: list[str], x: str, delt
     warnings counts the rows beyond half the threshold that are no drift; state is the last row's signal: 0 stable, 1 warning, 2 drift.
     """
     m = "(s.mean + (x - s.mean) / (s.n + 1))"
-    up, down = f"(s.up + x - {m} - {delta}D)", f"(s.down + x - {m} + {delta}D)"
+    # term by term in the order of the SQL: sums of doubles in another order cross a threshold at other rows
+    up, down = f"(s.up + x - {m} - {delta}D)", f"(s.down - {m} + {delta}D + x)"
     most = f"greatest({up} - least(s.low, {up}), greatest(s.high, {down}) - {down})"
     signal = f"if({most} > {threshold}D, 2, if({most} > {threshold / 2}D, 1, 0))"
     hit = f"{most} > {threshold}D"
