@@ -156,6 +156,20 @@ def test_lines_recall_of_edit_similarity(spark):
         assert len(own) > 40 and sum(left[b] == "" for _, b in own) >= least * len(own), kind
 
 
+def test_lines_are_linked_alike_in_any_table(spark):
+    """What is linked in a small table is linked too among many strange lines, and nothing else."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(80):
+        a = " ".join(word(rng.randint(3, 8)) for _ in range(14))
+        rows += [(2 * i, a), (2 * i + 1, "".join("z" if rng.random() < 0.04 else x for x in a))]
+    strange = [(1000 + k, "\n".join(" ".join(word(9) for _ in range(8)) for _ in range(200))) for k in range(60)]
+    left = lambda x: {r.doc_id: r.text for r in lines.line_report(spark.createDataFrame(x, "doc_id long, text string")).collect() if r.doc_id < 1000}
+    few, many = left(rows), left(rows + strange)
+    assert few == many and sum(t == "" for t in few.values()) > 40
+
+
 def test_lines_of_a_dense_group(spark):
     """Hundreds of variants share all blocks: no row names all its candidates, yet one line stays; strangers stay."""
     rng = random.Random(5)
