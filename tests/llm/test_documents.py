@@ -530,3 +530,17 @@ def test_quality_of_trigrams_without_a_vocabulary_limit(spark, monkeypatch, hot)
             lp += n * math.log(p(tri, ds[0], t, tri[t] - (n if i in good else 0), two))
         if w:
             assert got[i].perplexity == pytest.approx(math.exp(-lp / len(w)), rel=2e-3)
+
+
+def test_toxicity_is_not_trained_in_the_driver(spark, monkeypatch):
+    """The driver's memory holds neither the sample nor the training: a task makes the network."""
+    texts = [f"you are {w} and more words" for w in ("vile", "kind") for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("vile" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(toxicity, "train", never)
+    assert isinstance(toxicity.fit(docs, labels), toxicity.Net)
+    assert toxicity.fit(docs.limit(0), labels) is None

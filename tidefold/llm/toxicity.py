@@ -19,6 +19,9 @@ any label of both kinds every score is 0; repeated rows each get their row; conf
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -259,9 +262,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net | None:
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda v, most: rows.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = pick(1, TOXIC).union(pick(0, CLEAN))
-    sample = docs.select("doc_id", "text").join(small(chosen, TOXIC + CLEAN), "doc_id").collect()
-    sample.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return train([r.text for r in sample], np.array([r.toxic for r in sample]))
+    scratch = Scratch(docs.sparkSession, "sample")
+    sample = scratch.save(docs.select("doc_id", "text").join(small(chosen, TOXIC + CLEAN), "doc_id"))
+    found = sample.coalesce(1).mapInArrow(_trained, "net binary").collect()
+    scratch.drop(sample)
+    return pickle.loads(found[0].net) if found else None
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The network of all rows (doc_id, text, toxic), pickled: trained in a task, as the driver's memory is small."""
+    rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1] or ""))
+    net = train([r[1] for r in rows], np.array([r[2] for r in rows]))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
 
 def _scored(docs: DataFrame, net: Net | None) -> DataFrame:
