@@ -185,6 +185,25 @@ def test_lines_of_a_dense_group(spark):
     assert {r.doc_id: r.text for r in lines.line_report(df).collect()} == brute_lines(rows)
 
 
+def test_a_pair_is_named_once(spark):
+    """Lines that agree in many blocks are named by the first one alone, and dealt out in few packed rows, whatever their number."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2, 64 * lines.SIGNATURE).astype(np.uint8)
+    sigs = [np.packbits(base ^ (rng.random(len(base)) < 0.05), bitorder="little").tobytes() for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(60)), "size": pa.array([80] * 60, pa.int32()), "sig": pa.array(sigs), "comp": pa.array(range(60))})
+    pairs = []
+    for k in range(0, lines.BLOCKS, lines.ROUND):
+        wanted = np.arange(lines.BLOCKS << lines.BLOCK_BITS) // (lines.ROUND << lines.BLOCK_BITS) == k // lines.ROUND
+        dealt = list(lines._blocks(iter([batch]), wanted, 4))
+        assert sum(x.num_rows for x in dealt) <= 4
+        for out in lines._near(iter(dealt), 100):
+            pairs += [(r["a"], r["b"]) for r in out.to_pylist() if r["block"] is None]
+    bits = np.unpackbits(np.frombuffer(b"".join(sigs), np.uint8).reshape(60, -1), axis=1, bitorder="little")[:, : lines.BLOCKS * lines.BLOCK_BITS]
+    own = bits.reshape(60, lines.BLOCKS, lines.BLOCK_BITS)
+    want = [(a, b) for a, b in itertools.combinations(range(60), 2) if (own[a] == own[b]).all(axis=1).any()]
+    assert sorted(pairs) == want and len(want) > 1000
+
+
 def test_rest_of_blocks_is_compared(spark):
     """Two components of one block that only the second pass can link, at any size of either; what is not similar stays apart."""
     rows = [(i, " ".join(["same words here as ever so that they are alike"] + [w])) for i, w in enumerate(("one", "two", "six"))] + [(9, "something else entirely in the very same block of course")]
